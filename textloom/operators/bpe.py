@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as tx
 from textloom.functions.numbers import compression_band
 from textloom.operators.pretokens import sign_pairs, symbols, word_counts
-from textloom.runtime import remove_path, scratch_path
+from textloom.runtime import remove_path, scratch_path, shuffle_width
 
 # Special tokens in id order.
 SPECIALS = ("[UNK]", "[PAD]", "[BOS]", "[EOS]")
@@ -98,19 +98,20 @@ def train(
     byte_alphabet: bool = False,
     specials: Sequence[str] = SPECIALS,
     candidates: int = 256,
-    cut_every: int = 24,
+    cut_every: int = 16,
 ) -> Tokenizer:
     """Learn merges from ``(word, n)``, the same ones as one-at-a-time training.
 
     Each round counts all pairs in Spark and brings back the ``candidates`` best; every
-    leading pair that is provably next (see :func:`_safe_batch`) is merged at once. Words
-    that have become one symbol leave the table. After ``cut_every`` merges the table is
-    rewritten in the shared folder and the old one removed.
+    leading pair that is provably next (see :func:`_safe_batch`) is merged at once. After
+    ``cut_every`` merges the table is rewritten in the shared folder, without the words
+    that have become one symbol, and the old one is removed.
     """
     spark = counts.sparkSession
     signed = symbols(counts, scheme)
     path = scratch_path(spark, "bpe-words")
-    signed.groupBy("signs").agg(F.sum("n").alias("n")).write.parquet(path)
+    width = shuffle_width(spark)
+    signed.groupBy("signs").agg(F.sum("n").alias("n")).repartition(width, "signs").write.parquet(path)
     base = spark.read.schema("signs string, n bigint").parquet(path)
 
     # at most one row per Unicode character
@@ -124,13 +125,13 @@ def train(
 
     spelled = "".join(vocab[len(specials):])
     codes = "".join(_stand_in(i) for i in range(len(specials), len(vocab)))
-    words = base.select(F.translate("signs", spelled, codes).alias("s"), "n").filter(F.length("s") > 1)
-    since_cut = cut_every
+    words = base.select(F.translate("signs", spelled, codes).alias("s"), "n")
+    since_cut = 0
 
     while len(vocab) < vocab_size:
         if since_cut >= cut_every:
             fresh = scratch_path(spark, "bpe-words")
-            words.write.parquet(fresh)
+            words.filter(F.length("s") > 1).repartition(width, "s").write.parquet(fresh)
             remove_path(spark, path)
             path, since_cut = fresh, 0
             words = spark.read.schema("s string, n bigint").parquet(path)
@@ -157,7 +158,7 @@ def train(
                 known[token] = len(vocab)
                 vocab.append(token)
             s = F.replace(s, F.lit(_stand_in(left) + _stand_in(right)), F.lit(_stand_in(known[token])))
-        words = words.select(s.alias("s"), "n").filter(F.length("s") > 1)
+        words = words.select(s.alias("s"), "n")
         since_cut += len(batch)
 
     remove_path(spark, path)

@@ -25,17 +25,23 @@ def symbols(words: DataFrame, scheme: str) -> DataFrame:
     )
 
 
+PIECE = 512
+
+
 def sign_pairs(words: DataFrame, signs: str) -> DataFrame:
-    """``(pair, n)`` rows: neighbouring characters as two-character strings."""
-    rest = F.size("_chars") - 1
-    pairs = F.zip_with(
-        F.slice("_chars", 1, rest), F.slice("_chars", 2, rest), lambda a, b: F.concat(a, b)
-    )
-    # the split is a step of its own so that it is done once per word
+    """``(pair, n)`` rows: neighbouring characters as two-character strings.
+
+    Long words are first cut into pieces that overlap by one character, since finding the
+    n-th character of a string takes time proportional to n.
+    """
+    last = F.floor((F.length("_s") - 2) / PIECE).cast("int")
+    starts = F.when(F.length("_s") >= 2, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     return (
-        words.filter(F.length(signs) >= 2)
-        .select(F.split(signs, "").alias("_chars"), "n")
-        .select(F.explode(pairs).alias("pair"), "n")
+        words.select(F.col(signs).alias("_s"), "n")
+        .select("_s", "n", F.explode(starts).alias("_k"))
+        .select(F.substring("_s", F.col("_k") * PIECE + 1, F.lit(PIECE + 1)).alias("_s"), "n")
+        .select("_s", "n", F.explode(F.sequence(F.lit(1), F.length("_s") - 1)).alias("_i"))
+        .select(F.substring("_s", F.col("_i"), F.lit(2)).alias("pair"), "n")
     )
 
 
