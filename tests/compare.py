@@ -14,6 +14,9 @@ TABLES = (
 ).split()
 
 
+SPARK_SECONDS: dict[str, float] = {}
+
+
 def duck(folder: str):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
@@ -45,7 +48,9 @@ def duck_rows(con, sql):
 
 def difference(spark, con, folder, name, queries, oracles) -> str | None:
     """None when both sides agree, else what differs."""
+    began = time.time()
     names, rows = spark_rows(queries[name](spark, folder))
+    SPARK_SECONDS[name] = time.time() - began
     if name not in oracles:
         return None if rows else "no rows"
     want_names, want = duck_rows(con, oracles[name])
@@ -71,4 +76,4 @@ if __name__ == "__main__":
         except Exception as e:  # noqa: BLE001
             problem = f"{type(e).__name__}: {str(e)[:1500]}"
         state = "FAIL" if problem else ("ok" if name in o else "rows")
-        print(f"{state:5} {name:24} {time.time() - began:6.1f}s {problem or ''}", flush=True)
+        print(f"{state:5} {name:24} {SPARK_SECONDS.get(name, 0):6.1f}s of {time.time() - began:6.1f}s {problem or ''}", flush=True)

@@ -124,17 +124,19 @@ def continue_greedily(
     asked = prompts.withColumn("context", last_context(F.col(tokens), model.order))
     paths = greedy_paths(model, max_tokens)
     common = ngram.greedy_unigram(model)
-    # an unseen prompt end takes the most frequent token, then follows that token's path
-    if common is not None and model.order == 2:
-        start = paths.filter(F.col("context") == common).select(
-            F.slice(F.concat(F.array(F.lit(common)), "path"), 1, max_tokens).alias("p")
-        )
-        fallback = start.scalar()
-    else:
-        fallback = F.array().cast("array<string>")
-    joined = asked.join(paths, "context", "left")
-    path = F.coalesce("path", fallback)
-    return joined.withColumn("new_tokens", stopped(path, stop)).drop("path", "context")
+    # an unseen prompt end takes the most frequent token, then follows that token's path;
+    # this is one row
+    start = paths.filter(F.col("context") == F.lit(common)).select(
+        F.lit(True).alias("_unseen"),
+        F.slice(F.concat(F.array(F.lit(common)), "path"), 1, max_tokens).alias("_start"),
+    )
+    joined = (
+        asked.join(paths, "context", "left")
+        .withColumn("_unseen", F.col("path").isNull())
+        .join(F.broadcast(start.limit(1)), "_unseen", "left")
+    )
+    path = F.coalesce("path", "_start", F.array().cast("array<string>"))
+    return joined.withColumn("new_tokens", stopped(path, stop)).drop("path", "context", "_unseen", "_start")
 
 
 def continue_sampled(
