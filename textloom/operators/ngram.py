@@ -22,7 +22,10 @@ HOT_SHARE = 0.001
 
 @dataclass(frozen=True)
 class Model:
-    """``pairs(context, token, n)``, ``contexts(context, total)``; both written tables."""
+    """``pairs(context, token, n, total)`` and ``contexts(context, total)``; both written tables.
+
+    ``total`` is repeated on the pairs so that a seen pair needs one lookup only.
+    """
 
     pairs: DataFrame
     contexts: DataFrame
@@ -33,10 +36,9 @@ class Model:
 
     def distribution(self) -> DataFrame:
         """``(context, token, logit)`` of the seen pairs."""
-        totals = self.contexts
-        return salted_lookup(
-            self.pairs, totals, ["context"], self.hot_contexts(), ["token"]
-        ).select("context", "token", self.log_probability(F.col("n"), F.col("total")).alias("logit"))
+        return self.pairs.select(
+            "context", "token", self.log_probability(F.col("n"), F.col("total")).alias("logit")
+        )
 
     def log_probability(self, n: Column, total: Column) -> Column:
         return F.log(
@@ -45,11 +47,15 @@ class Model:
         )
 
     def hot_contexts(self) -> DataFrame:
-        """Contexts with at least ``HOT_SHARE`` of all pairs: no more than ``1 / HOT_SHARE``."""
-        return self.contexts.filter(F.col("total") >= HOT_SHARE * self.observed).select("context")
+        return _hot(self.contexts, "total", self.observed).select("context")
 
     def hot_pairs(self) -> DataFrame:
-        return self.pairs.filter(F.col("n") >= HOT_SHARE * self.observed).select("context", "token")
+        return _hot(self.pairs, "n", self.observed).select("context", "token")
+
+
+def _hot(counted: DataFrame, n: str, observed: int) -> DataFrame:
+    """Keys with at least ``HOT_SHARE`` of all pairs: no more than ``1 / HOT_SHARE`` of them."""
+    return counted.filter(F.col(n) >= HOT_SHARE * observed)
 
 
 def transitions(tokens: Column, order: int = 2) -> Column:
@@ -84,41 +90,49 @@ def pair_counts(docs: DataFrame, order: int = 2, tokens: str = "tokens") -> Data
 
 def fit(docs: DataFrame, order: int = 2, alpha: float = 0.1, tokens: str = "tokens") -> Model:
     """Count n-grams. The vocabulary is every token of the texts."""
-    pairs = cut(pair_counts(docs, order, tokens), "ngram-pairs")
-    contexts = cut(pairs.groupBy("context").agg(F.sum("n").alias("total")), "ngram-contexts")
+    counted = cut(pair_counts(docs, order, tokens), "ngram-counts")
+    contexts = cut(counted.groupBy("context").agg(F.sum("n").alias("total")), "ngram-contexts")
+    observed = contexts.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    hot = _hot(contexts, "total", observed).select("context")
+    pairs = cut(salted_lookup(counted, contexts, ["context"], hot, ["token"]), "ngram-pairs")
     types = pairs.select("token")
     if order == 2:
         types = types.union(contexts.select("context"))
     else:
-        types = types.union(docs.select(F.explode(F.slice(tokens, 1, order - 1)).alias("token")))
+        types = types.union(contexts.select(F.explode(F.split("context", GLUE)).alias("token")))
     vocabulary = types.distinct().count()
-    observed = contexts.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     return Model(pairs, contexts, order, alpha, vocabulary, observed)
 
 
-def text_loss(docs: DataFrame, model: Model, key: Sequence[str], tokens: str = "tokens") -> DataFrame:
+def text_loss(
+    docs: DataFrame, model: Model, key: Sequence[str], tokens: str = "tokens", in_sample: bool = False
+) -> DataFrame:
     """Mean negative log probability of the next tokens of each text; unseen pairs are smoothed.
 
-    Equal pairs of a text are counted first. The lookups of the model are salted for the
-    pairs and contexts that its own counts show to be hot. Texts of fewer than two tokens
-    (or fewer than ``order``) have no row.
+    Lookups of the model are salted for the pairs and contexts that its counts show to be
+    hot. ``in_sample`` says that the model was fitted on these very texts: every pair is
+    known, so the second lookup, for contexts of unseen pairs, is left out. Texts of fewer
+    than two tokens (or fewer than ``order``) have no row.
     """
-    asked = (
-        docs.select(*key, F.explode(transitions(F.col(tokens), model.order)).alias("t"))
-        .groupBy(*key, F.col("t.context").alias("context"), F.col("t.token").alias("token"))
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
-    known = salted_lookup(asked, model.pairs, ["context", "token"], model.hot_pairs(), key)
-    known = salted_lookup(known, model.contexts, ["context"], model.hot_contexts(), [*key, "token"])
-    loss = -model.log_probability(F.col("n"), F.col("total"))
-    return known.groupBy(*key).agg(
-        F.sum("times").alias("targets"),
-        (F.sum(loss * F.col("times")) / F.sum("times")).alias("loss"),
+    asked = docs.select(*key, F.posexplode(transitions(F.col(tokens), model.order)).alias("_i", "t")).select(
+        *key, "_i", F.col("t.context").alias("context"), F.col("t.token").alias("token")
     )
-
-
-def text_perplexity(docs: DataFrame, model: Model, key: Sequence[str], tokens: str = "tokens") -> DataFrame:
-    return text_loss(docs, model, key, tokens).withColumn("perplexity", nm.perplexity(F.col("loss"), capped=False))
+    spread = [*key, "_i"]
+    known = salted_lookup(asked, model.pairs, ["context", "token"], model.hot_pairs(), spread)
+    total = F.col("total")
+    if not in_sample:
+        contexts = model.contexts.withColumnRenamed("total", "context_total")
+        known = salted_lookup(known, contexts, ["context"], model.hot_contexts(), spread)
+        total = F.coalesce("total", "context_total")
+    loss = -model.log_probability(F.col("n"), total)
+    return known.groupBy(*key).agg(F.count(F.lit(1)).alias("targets"), F.avg(loss).alias("loss"))
+
+
+def text_perplexity(
+    docs: DataFrame, model: Model, key: Sequence[str], tokens: str = "tokens", in_sample: bool = False
+) -> DataFrame:
+    scored = text_loss(docs, model, key, tokens, in_sample)
+    return scored.withColumn("perplexity", nm.perplexity(F.col("loss"), capped=False))
 
 
 def mean_perplexity(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:

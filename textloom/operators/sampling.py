@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions.numbers import clean_logit, draw
 from textloom.operators.ngram import greedy
-from textloom.runtime import running
+from textloom.runtime import cut, running
 
 MASKED = -1e10
 MIN_TEMPERATURE = 1e-8
@@ -72,15 +72,20 @@ def keep_top_p(
     if p >= 1.0:
         return shaped
     scanned = cumulative(shaped, by)
+    probability = F.col("probability")
     if nucleus == "standard":
         kept = scanned.filter((F.col("before") < p) | (F.col("before") == 0))
-        return softmax(kept.drop("probability", "before", "upto"), by, logit)
-    if nucleus == "strict":
-        masked = scanned.withColumn(
-            logit, F.when(F.col("upto") > p, F.lit(MASKED)).otherwise(F.col(logit))
+        masses = kept.groupBy(by).agg(F.sum("probability").alias("_left"))
+        out = kept.join(masses, by).withColumn("probability", probability / F.col("_left"))
+    elif nucleus == "strict":
+        left = F.when(F.col("upto") > p, 0.0).otherwise(probability)
+        masses = scanned.groupBy(by).agg(F.sum(left).alias("_left"), F.count(F.lit(1)).alias("_size"))
+        out = scanned.join(masses, by).withColumn(
+            "probability", F.when(F.col("_left") > 0, left / F.col("_left")).otherwise(1.0 / F.col("_size"))
         )
-        return softmax(masked.drop("probability", "before", "upto"), by, logit)
-    raise ValueError(f"unknown nucleus rule {nucleus!r}")
+    else:
+        raise ValueError(f"unknown nucleus rule {nucleus!r}")
+    return out.drop("before", "upto", "_left", "_size")
 
 
 def next_token_distribution(
@@ -97,7 +102,9 @@ def next_token_distribution(
         return greedy(cleaned, [by]).withColumn("probability", F.lit(1.0))
     scaled = cleaned.withColumn("logit", F.col("logit") / max(temperature, MIN_TEMPERATURE))
     limit = keep_top_k if nucleus == "standard" or top_p >= 1.0 else mask_below_top_k
-    shaped = keep_top_p(limit(scaled, top_k, by), top_p, nucleus, by)
+    # the limited table is used several times below
+    limited = cut(limit(scaled, top_k, by), "limited")
+    shaped = keep_top_p(limited, top_p, nucleus, by)
     return shaped.select(by, "token", "probability").filter("probability > 0")
 
 

@@ -8,7 +8,7 @@ from textloom.functions import matching
 from textloom.functions import text as tx
 from textloom.operators import documents, scores, suites
 from textloom.plans import models, tables
-from textloom.plans.corpus import IS_CODE_SQL, LINES_SQL, WORDS_SQL
+from textloom.plans.corpus import IS_CODE_SQL, LINES_SQL, REASON_SQL, WORDS_SQL
 from textloom.plans.registry import query
 from textloom.runtime import scratch_path
 from textloom.sources import logs
@@ -159,7 +159,7 @@ def result_roundtrip(spark, folder):
 SELECT test, processed, skipped, lines, round(score, 6) AS score FROM
   (SELECT test, avg(CAST(passed AS INTEGER)) AS score FROM outcomes GROUP BY test) JOIN
   (SELECT source AS test, count(*) AS processed, CAST(0 AS BIGINT) AS skipped, CAST(sum({LINES_SQL}) AS BIGINT) AS lines
-    FROM documents WHERE length(text) >= 10 GROUP BY source) USING (test)
+    FROM (SELECT *, {REASON_SQL} AS reason FROM documents) WHERE reason IS NULL GROUP BY source) USING (test)
 """)
 def source_report(spark, folder):
     """Intake and quality of each source side by side."""

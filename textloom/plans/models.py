@@ -62,13 +62,13 @@ def _shown(scored):
 @query(f"WITH {_model_sql()}, asked AS (SELECT doc_id, context, token FROM seen) {_LOSS_SQL.format(key='doc_id')}")
 def doc_perplexity(spark, folder):
     docs = _docs(spark, folder)
-    return _shown(ngram.text_perplexity(docs, ngram.fit(docs, alpha=ALPHA), ["doc_id"]))
+    return _shown(ngram.text_perplexity(docs, ngram.fit(docs, alpha=ALPHA), ["doc_id"], in_sample=True))
 
 
 @query(f"WITH {_model_sql(order=3)}, asked AS (SELECT doc_id, context, token FROM seen) {_LOSS_SQL.format(key='doc_id')}")
 def trigram_perplexity(spark, folder):
     docs = _docs(spark, folder)
-    return _shown(ngram.text_perplexity(docs, ngram.fit(docs, order=3, alpha=ALPHA), ["doc_id"]))
+    return _shown(ngram.text_perplexity(docs, ngram.fit(docs, order=3, alpha=ALPHA), ["doc_id"], in_sample=True))
 
 
 @query(f"""WITH {_model_sql()},
@@ -89,7 +89,7 @@ FROM scored GROUP BY source
 """)
 def mean_perplexity(spark, folder):
     docs = _docs(spark, folder, "word", "source")
-    scored = ngram.text_perplexity(docs, ngram.fit(docs, alpha=ALPHA), ["source", "doc_id"])
+    scored = ngram.text_perplexity(docs, ngram.fit(docs, alpha=ALPHA), ["source", "doc_id"], in_sample=True)
     return ngram.mean_perplexity(scored, ["source"]).withColumn(
         "average_perplexity", F.round("average_perplexity", 3)
     )
