@@ -118,7 +118,10 @@ def bytes_to_signs(word: Column) -> Column:
 
 def signs_to_text(signs: Column) -> Column:
     """Inverse of :func:`bytes_to_signs`; broken byte sequences become U+FFFD."""
-    latin = F.translate(signs, HIDDEN_SIGNS, HIDDEN_BYTES)
+    # translate cannot produce the character of byte 0, so that one is replaced
+    latin = F.replace(
+        F.translate(signs, HIDDEN_SIGNS[1:], HIDDEN_BYTES[1:]), F.lit(HIDDEN_SIGNS[0]), F.lit(HIDDEN_BYTES[0])
+    )
     return F.make_valid_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
 
 

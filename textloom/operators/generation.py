@@ -36,7 +36,7 @@ def greedy_paths(model: ngram.Model, length: int, fallback: bool = True) -> Data
     A token without a known successor is followed by the most frequent token when
     ``fallback`` is set (one-token contexts only); otherwise the path ends there.
     """
-    best = ngram.greedy(model.pairs.withColumn("logit", F.col("n").cast("double")))
+    best = ngram.greedy(model.counts, weight="n")
     step = best.select(
         "context",
         F.array("token").alias("path"),
@@ -45,9 +45,7 @@ def greedy_paths(model: ngram.Model, length: int, fallback: bool = True) -> Data
     if fallback and model.order == 2:
         # tokens that only ever end a text have no successor of their own
         common = ngram.greedy_unigram(model)
-        ends = model.pairs.select(F.col("token").alias("context")).distinct().join(
-            model.contexts, "context", "left_anti"
-        )
+        ends = model.contexts.filter("total = 0")
         step = step.unionByName(
             ends.select("context", F.array(F.lit(common)).alias("path"), F.lit(common).alias("reached"))
         )
@@ -156,7 +154,7 @@ def continue_sampled(
     Only ``(key, context, new_tokens)`` goes through the loop. A prompt whose context has
     no successor ends there. The lineage is cut every few rounds.
     """
-    shaped = next_token_distribution(model.distribution(), temperature, top_k, top_p, nucleus)
+    shaped = cut(next_token_distribution(model.distribution(), temperature, top_k, top_p, nucleus), "shaped")
     stretches = cut(intervals(shaped), "stretches")
     state = prompts.select(
         key,

@@ -22,21 +22,22 @@ HOT_SHARE = 0.001
 
 @dataclass(frozen=True)
 class Model:
-    """``pairs(context, token, n, total)`` and ``contexts(context, total)``; both written tables.
+    """``counts(context, token, n)`` and ``contexts(context, total)``; both written tables."""
 
-    ``total`` is repeated on the pairs so that a seen pair needs one lookup only.
-    """
-
-    pairs: DataFrame
+    counts: DataFrame
     contexts: DataFrame
     order: int
     alpha: float
     vocabulary: int
     observed: int
 
+    def pairs(self) -> DataFrame:
+        """``(context, token, n, total)``: with the total, a seen pair needs one lookup only."""
+        return salted_lookup(self.counts, self.contexts, ["context"], self.hot_contexts(), ["token"])
+
     def distribution(self) -> DataFrame:
         """``(context, token, logit)`` of the seen pairs."""
-        return self.pairs.select(
+        return self.pairs().select(
             "context", "token", self.log_probability(F.col("n"), F.col("total")).alias("logit")
         )
 
@@ -50,7 +51,7 @@ class Model:
         return _hot(self.contexts, "total", self.observed).select("context")
 
     def hot_pairs(self) -> DataFrame:
-        return _hot(self.pairs, "n", self.observed).select("context", "token")
+        return _hot(self.counts, "n", self.observed).select("context", "token")
 
 
 def _hot(counted: DataFrame, n: str, observed: int) -> DataFrame:
@@ -89,19 +90,22 @@ def pair_counts(docs: DataFrame, order: int = 2, tokens: str = "tokens") -> Data
 
 
 def fit(docs: DataFrame, order: int = 2, alpha: float = 0.1, tokens: str = "tokens") -> Model:
-    """Count n-grams. The vocabulary is every token of the texts."""
-    counted = cut(pair_counts(docs, order, tokens), "ngram-counts")
-    contexts = cut(counted.groupBy("context").agg(F.sum("n").alias("total")), "ngram-contexts")
-    observed = contexts.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    hot = _hot(contexts, "total", observed).select("context")
-    pairs = cut(salted_lookup(counted, contexts, ["context"], hot, ["token"]), "ngram-pairs")
-    types = pairs.select("token")
+    """Count n-grams. The vocabulary is every token of the counted texts.
+
+    With one-token contexts the table of contexts also gets the tokens that only end a
+    text, with a total of zero, and so lists the whole vocabulary.
+    """
+    counts = cut(pair_counts(docs, order, tokens), "ngram-counts")
+    uses = counts.select("context", "n")
     if order == 2:
-        types = types.union(contexts.select("context"))
-    else:
-        types = types.union(contexts.select(F.explode(F.split("context", GLUE)).alias("token")))
-    vocabulary = types.distinct().count()
-    return Model(pairs, contexts, order, alpha, vocabulary, observed)
+        uses = uses.unionByName(counts.select(F.col("token").alias("context"), F.lit(0).cast("bigint").alias("n")))
+    contexts = cut(uses.groupBy("context").agg(F.sum("n").alias("total")), "ngram-contexts")
+    size = contexts.agg(F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("total"), F.lit(0)).alias("observed")).first()
+    vocabulary = size.types
+    if order > 2:
+        parts = contexts.select(F.explode(F.split("context", GLUE)).alias("token"))
+        vocabulary = counts.select("token").union(parts).distinct().count()
+    return Model(counts, contexts, order, alpha, vocabulary, size.observed)
 
 
 def text_loss(
@@ -111,20 +115,17 @@ def text_loss(
 
     Lookups of the model are salted for the pairs and contexts that its counts show to be
     hot. ``in_sample`` says that the model was fitted on these very texts: every pair is
-    known, so the second lookup, for contexts of unseen pairs, is left out. Texts of fewer
+    known, so the totals come with the pairs and the lookup of contexts is left out. Texts of fewer
     than two tokens (or fewer than ``order``) have no row.
     """
     asked = docs.select(*key, F.posexplode(transitions(F.col(tokens), model.order)).alias("_i", "t")).select(
         *key, "_i", F.col("t.context").alias("context"), F.col("t.token").alias("token")
     )
     spread = [*key, "_i"]
-    known = salted_lookup(asked, model.pairs, ["context", "token"], model.hot_pairs(), spread)
-    total = F.col("total")
+    known = salted_lookup(asked, model.pairs() if in_sample else model.counts, ["context", "token"], model.hot_pairs(), spread)
     if not in_sample:
-        contexts = model.contexts.withColumnRenamed("total", "context_total")
-        known = salted_lookup(known, contexts, ["context"], model.hot_contexts(), spread)
-        total = F.coalesce("total", "context_total")
-    loss = -model.log_probability(F.col("n"), total)
+        known = salted_lookup(known, model.contexts, ["context"], model.hot_contexts(), spread)
+    loss = -model.log_probability(F.col("n"), F.col("total"))
     return known.groupBy(*key).agg(F.count(F.lit(1)).alias("targets"), F.avg(loss).alias("loss"))
 
 
@@ -156,7 +157,7 @@ def greedy(dist: DataFrame, by: Sequence[str] = ("context",), weight: str = "log
 def greedy_unigram(model: Model) -> str | None:
     """The most frequent next token overall, for contexts the model has not seen."""
     row = (
-        model.pairs.groupBy("token").agg(F.sum("n").alias("n"))
+        model.counts.groupBy("token").agg(F.sum("n").alias("n"))
         .agg(F.min(F.struct((-F.col("n")).alias("cost"), "token")).alias("best"))
         .first()
     )

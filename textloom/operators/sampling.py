@@ -48,13 +48,16 @@ def mask_below_top_k(dist: DataFrame, k: int, by: str = "context", logit: str =
 
 
 def cumulative(dist: DataFrame, by: str = "context", probability: str = "probability") -> DataFrame:
-    """Add ``before`` and ``upto``: probability mass ahead of each token, and with it.
+    """Add ``before``, ``upto`` and ``place``: mass ahead of each token, mass with it, its rank.
 
     Tokens go from likely to unlikely, by token on ties; see :func:`textloom.runtime.running`
     for contexts of any size.
     """
     scanned = running(
-        dist, [by], [F.desc(probability), F.asc("token")], {"before": ("sum", F.col(probability))}
+        dist,
+        [by],
+        [F.desc(probability), F.asc("token")],
+        {"before": ("sum", F.col(probability)), "place": ("sum", F.lit(1))},
     )
     return scanned.withColumn("upto", F.col("before") + F.col(probability))
 
@@ -62,30 +65,36 @@ def cumulative(dist: DataFrame, by: str = "context", probability: str = "probabi
 def keep_top_p(
     dist: DataFrame, p: float, nucleus: str = "standard", by: str = "context", logit: str = "logit"
 ) -> DataFrame:
-    """Nucleus filter with new ``probability`` values.
+    """Nucleus filter: new ``probability`` and the stretch ``low`` to ``high`` of [0, 1).
 
     ``standard`` keeps the token that crosses ``p``. ``strict`` drops it, and spreads
     the mass evenly over the whole context when nothing is left; it masks tokens rather
-    than removing them, see :func:`mask_below_top_k`.
+    than removing them, see :func:`mask_below_top_k`. The kept tokens are the first ones
+    in order, so their stretches follow from the sums already made.
     """
-    shaped = softmax(dist, by, logit)
+    probability, before = F.col("probability"), F.col("before")
+    scanned = cumulative(softmax(dist, by, logit), by)
     if p >= 1.0:
-        return shaped
-    scanned = cumulative(shaped, by)
-    probability = F.col("probability")
+        return scanned.select(by, "token", "probability", before.alias("low"), F.col("upto").alias("high"))
     if nucleus == "standard":
-        kept = scanned.filter((F.col("before") < p) | (F.col("before") == 0))
+        kept = scanned.filter((before < p) | (before == 0))
         masses = kept.groupBy(by).agg(F.sum("probability").alias("_left"))
-        out = kept.join(masses, by).withColumn("probability", probability / F.col("_left"))
+        even, left = F.lit(False), probability
     elif nucleus == "strict":
+        kept = scanned
         left = F.when(F.col("upto") > p, 0.0).otherwise(probability)
         masses = scanned.groupBy(by).agg(F.sum(left).alias("_left"), F.count(F.lit(1)).alias("_size"))
-        out = scanned.join(masses, by).withColumn(
-            "probability", F.when(F.col("_left") > 0, left / F.col("_left")).otherwise(1.0 / F.col("_size"))
-        )
+        even = F.col("_left") == 0
     else:
         raise ValueError(f"unknown nucleus rule {nucleus!r}")
-    return out.drop("before", "upto", "_left", "_size")
+    share = 1.0 / F.col("_size") if nucleus == "strict" else F.lit(None).cast("double")
+    return kept.join(masses, by).select(
+        by,
+        "token",
+        F.when(even, share).otherwise(left / F.col("_left")).alias("probability"),
+        F.when(even, F.col("place") * share).otherwise(before / F.col("_left")).alias("low"),
+        F.when(even, (F.col("place") + 1) * share).otherwise((before + left) / F.col("_left")).alias("high"),
+    )
 
 
 def next_token_distribution(
@@ -96,16 +105,17 @@ def next_token_distribution(
     nucleus: str = "standard",
     by: str = "context",
 ) -> DataFrame:
-    """``(by, token, probability)`` after cleaning, temperature, top-k and top-p."""
+    """``(by, token, probability, low, high)`` after cleaning, temperature, top-k and top-p."""
     cleaned = dist.withColumn("logit", clean_logit(F.col("logit")))
     if temperature == 0:
-        return greedy(cleaned, [by]).withColumn("probability", F.lit(1.0))
+        sure = {"probability": F.lit(1.0), "low": F.lit(0.0), "high": F.lit(1.0)}
+        return greedy(cleaned, [by]).withColumns(sure)
     scaled = cleaned.withColumn("logit", F.col("logit") / max(temperature, MIN_TEMPERATURE))
     limit = keep_top_k if nucleus == "standard" or top_p >= 1.0 else mask_below_top_k
     # the limited table is used several times below
     limited = cut(limit(scaled, top_k, by), "limited")
     shaped = keep_top_p(limited, top_p, nucleus, by)
-    return shaped.select(by, "token", "probability").filter("probability > 0")
+    return shaped.filter("probability > 0")
 
 
 def intervals(shaped: DataFrame, by: str = "context") -> DataFrame:
@@ -114,17 +124,16 @@ def intervals(shaped: DataFrame, by: str = "context") -> DataFrame:
     The stretch is repeated for every cell of a fixed grid it meets, which turns the
     search for a draw into an equi-join on (context, cell).
     """
-    scanned = cumulative(shaped, by)
     # rounding may leave the last stretch short of 1, so the last token takes the rest
-    lasts = scanned.groupBy(by).agg(F.max(F.struct("before", "token")).alias("_last"))
+    lasts = shaped.groupBy(by).agg(F.max(F.struct("low", "token")).alias("_last"))
     low, high = F.col("low"), F.col("high")
     return (
-        scanned.join(lasts, by)
+        shaped.join(lasts, by)
         .select(
             by,
             "token",
-            F.col("before").alias("low"),
-            F.when(F.col("token") == F.col("_last.token"), 1.0).otherwise(F.col("upto")).alias("high"),
+            "low",
+            F.when(F.col("token") == F.col("_last.token"), 1.0).otherwise(high).alias("high"),
         )
         .filter(low < high)
         .withColumn(
@@ -156,5 +165,5 @@ def sample_next(
     asked: DataFrame, dist: DataFrame, key: str, seed: int = 0, **shape
 ) -> DataFrame:
     """One drawn token per row of ``asked(key, context)``; the draw depends on seed and key only."""
-    stretches = intervals(next_token_distribution(dist, **shape))
+    stretches = intervals(cut(next_token_distribution(dist, **shape), "shaped"))
     return sample(asked, stretches, draw(seed, F.col(key)))
