@@ -122,19 +122,14 @@ def continue_greedily(
     asked = prompts.withColumn("context", last_context(F.col(tokens), model.order))
     paths = greedy_paths(model, max_tokens)
     common = ngram.greedy_unigram(model)
-    # an unseen prompt end takes the most frequent token, then follows that token's path;
-    # this is one row
-    start = paths.filter(F.col("context") == F.lit(common)).select(
-        F.lit(True).alias("_unseen"),
-        F.slice(F.concat(F.array(F.lit(common)), "path"), 1, max_tokens).alias("_start"),
-    )
-    joined = (
-        asked.join(paths, "context", "left")
-        .withColumn("_unseen", F.col("path").isNull())
-        .join(F.broadcast(start.limit(1)), "_unseen", "left")
-    )
-    path = F.coalesce("path", "_start", F.array().cast("array<string>"))
-    return joined.withColumn("new_tokens", stopped(path, stop)).drop("path", "context", "_unseen", "_start")
+    # an unseen prompt end takes the most frequent token, then follows that token's path:
+    # one row of at most max_tokens tokens, which becomes a constant
+    start = paths.filter(F.col("context") == F.lit(common)).first()
+    first_tokens = [common, *start.path][:max_tokens] if start and model.order == 2 else []
+    constant = F.array(*[F.lit(t) for t in first_tokens]).cast("array<string>")
+    path = F.coalesce("path", constant)
+    joined = asked.join(paths, "context", "left")
+    return joined.withColumn("new_tokens", stopped(path, stop)).drop("path", "context")
 
 
 def continue_sampled(

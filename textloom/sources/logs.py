@@ -57,7 +57,8 @@ def with_corrupt(schema: str) -> T.StructType:
 
 
 def drop_corrupt(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    """Keep whole rows. Every log row has a step; naming it lets Spark count the rows, too."""
+    return rows.filter(F.col("_corrupt_record").isNull() & F.col("step").isNotNull()).drop("_corrupt_record")
 
 
 def append_log(log: DataFrame, path: str) -> None:

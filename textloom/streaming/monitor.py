@@ -83,8 +83,10 @@ def to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """
     spark = stream.sparkSession
     out = scratch_path(spark, "stream")
+    saved: list[int] = []
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        saved.append(batch_id)
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
@@ -95,13 +97,12 @@ def to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    progress = query.lastProgress
-    if progress is None:
+    if not saved:
         return spark.createDataFrame([], stream.schema)
     with_batch = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     table = spark.read.schema(with_batch).parquet(out)
     if mode == "complete":
-        table = table.filter(F.col("batch") == table.agg(F.max("batch")).scalar())
+        table = table.filter(F.col("batch") == saved[-1])
     return table.drop("batch")
 
 
