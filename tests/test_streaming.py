@@ -78,3 +78,16 @@ def test_appended_log_is_a_stream_source(spark, tmp_path):
     append_log(log.filter("step > 20"), str(tmp_path / "log"))
     stream = monitor.log_stream(spark, str(tmp_path / "log"))
     assert bag(monitor.to_table(monitor.newest(stream))) == bag(runlog.newest(log))
+
+
+def test_follow_keeps_a_table_up_to_date(spark, tmp_path):
+    folder, out = tmp_path / "log", str(tmp_path / "newest")
+    folder.mkdir()
+    query = monitor.follow(monitor.log_stream(spark, str(folder)), out, str(tmp_path / "progress"), "1 second")
+    try:
+        for at, rows in enumerate((ROWS[:5], ROWS[5:9])):
+            write(folder, rows, at)
+            query.processAllAvailable()
+            assert [r.step for r in spark.read.parquet(out).collect()] == [rows[-1][1]]
+    finally:
+        query.stop()

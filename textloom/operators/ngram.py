@@ -59,34 +59,22 @@ def _hot(counted: DataFrame, n: str, observed: int) -> DataFrame:
     return counted.filter(F.col(n) >= HOT_SHARE * observed)
 
 
-def transitions(tokens: Column, order: int = 2) -> Column:
-    """``array<struct<context, token>>`` of a token list."""
+def transitions(docs: DataFrame, keep: Sequence[str] = (), order: int = 2, tokens: str = "tokens") -> DataFrame:
+    """One row ``(*keep, at, context, token)`` per token that has a full context before it."""
     reach = order - 1
-    n = F.size(tokens) - reach
-    if order == 2:
-        pairs = F.zip_with(
-            F.slice(tokens, 1, n), F.slice(tokens, 2, n),
-            lambda c, t: F.struct(c.alias("context"), t.alias("token")),
-        )
-    else:
-        pairs = F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.struct(
-                F.array_join(F.slice(tokens, i, reach), GLUE).alias("context"),
-                F.get(tokens, i + reach - 1).alias("token"),
-            ),
-        )
-    empty = F.array().cast("array<struct<context:string,token:string>>")
-    return F.when(n >= 1, pairs).otherwise(empty)
+    last = F.size(tokens) - reach
+    places = F.when(last >= 1, F.sequence(F.lit(1), last))
+    at = F.col("at")
+    context = F.get(tokens, at - 1) if order == 2 else F.array_join(F.slice(tokens, at, reach), GLUE)
+    return docs.select(*keep, tokens, F.explode(places).alias("at")).select(
+        *keep, "at", context.alias("context"), F.get(tokens, at + reach - 1).alias("token")
+    )
 
 
 def pair_counts(docs: DataFrame, order: int = 2, tokens: str = "tokens") -> DataFrame:
     """``(context, token, n)``; counted in each task before the shuffle."""
-    return (
-        docs.select(F.explode(transitions(F.col(tokens), order)).alias("t"))
-        .groupBy("t.context", "t.token")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    rows = transitions(docs, (), order, tokens)
+    return rows.groupBy("context", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fit(docs: DataFrame, order: int = 2, alpha: float = 0.1, tokens: str = "tokens") -> Model:
@@ -118,10 +106,8 @@ def text_loss(
     known, so the totals come with the pairs and the lookup of contexts is left out. Texts of fewer
     than two tokens (or fewer than ``order``) have no row.
     """
-    asked = docs.select(*key, F.posexplode(transitions(F.col(tokens), model.order)).alias("_i", "t")).select(
-        *key, "_i", F.col("t.context").alias("context"), F.col("t.token").alias("token")
-    )
-    spread = [*key, "_i"]
+    asked = transitions(docs, key, model.order, tokens)
+    spread = [*key, "at"]
     known = salted_lookup(asked, model.pairs() if in_sample else model.counts, ["context", "token"], model.hot_pairs(), spread)
     if not in_sample:
         known = salted_lookup(known, model.contexts, ["context"], model.hot_contexts(), spread)

@@ -22,16 +22,20 @@ _OUTCOME_SQL = f"""
   tests AS (SELECT run, category, test, count(*) AS total, count(*) FILTER (passed) AS n_passed, avg(CAST(passed AS INTEGER)) AS score FROM outcomes GROUP BY ALL)"""
 
 
-def _outcomes(spark, folder):
-    """Labels as probe outcomes: a document of good quality has passed the test of its source."""
-    docs = tables.table(spark, folder, "documents").select("doc_id", "source", "lang")
+def _category():
     category = F.lit(None).cast("string")
     for lang, name in CATEGORIES.items():
         category = F.when(F.col("lang") == lang, name).otherwise(category)
+    return category.alias("category")
+
+
+def _outcomes(spark, folder):
+    """Labels as probe outcomes: a document of good quality has passed the test of its source."""
+    docs = tables.table(spark, folder, "documents").select("doc_id", "source", "lang")
     return tables.table(spark, folder, "labels").join(docs, "doc_id").select(
         F.when(tables._is_code(F.col("source")), "code").otherwise("books").alias("run"),
         F.col("source").alias("test"),
-        category.alias("category"),
+        _category(),
         (F.col("quality") == 1).alias("passed"),
     )
 
@@ -70,6 +74,30 @@ def score_table(spark, folder):
     return wide.select("run", *[F.round(c, 6).alias(c) for c in wide.columns if c != "run"])
 
 
+@query(f"""WITH o AS (SELECT source, {_CATEGORY_SQL} AS category, lang, quality FROM labels JOIN documents USING (doc_id)),
+t AS (SELECT source, category, lang, avg(quality) AS score FROM o GROUP BY ALL),
+c AS (SELECT source, category, avg(score) AS s FROM t GROUP BY ALL),
+w AS (SELECT source, max(s) FILTER (category = 'syntax') AS a, max(s) FILTER (category = 'generation') AS b, max(s) FILTER (category = 'perplexity') AS d FROM c GROUP BY source)
+SELECT 'best_step_' || regexp_extract(source, '[0-9]+') AS name, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS step,
+  round((a + b + d) / 3, 6) AS overall_score, round(a, 6) AS syntax_score, round(b, 6) AS generation_score, round(p, 6) AS average_perplexity
+FROM w JOIN (SELECT source, avg(n_chars) AS p FROM documents GROUP BY source) USING (source)
+""")
+def checkpoint_report(spark, folder):
+    """Sources as checkpoints, their languages as tests, their mean length in place of a perplexity."""
+    docs = tables.table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars")
+    number = F.regexp_extract("source", "[0-9]+", 0)
+    outcomes = tables.table(spark, folder, "labels").join(docs, "doc_id").select(
+        "source", F.col("lang").alias("test"), _category(), (F.col("quality") == 1).alias("passed")
+    )
+    wide = scores.wide_scores(scores.pass_rates(outcomes, ["source", "category", "test"]), ["source"])
+    lengths = docs.groupBy("source").agg(F.avg("n_chars").alias("average_perplexity"))
+    named = wide.join(lengths, "source").select(
+        F.concat(F.lit("best_step_"), number).alias("name"), number.cast("bigint").alias("step"),
+        *[F.round(c, 6).alias(c) for c in ("overall_score", "syntax_score", "generation_score", "average_perplexity")],
+    )
+    return scores.report(named)
+
+
 _TURN_SQL = r"""
   turns AS (SELECT conv_id, turn, text AS predicted, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prompt FROM conversations),
   judged AS (SELECT conv_id, turn, predicted, prompt, list_slice(regexp_extract_all(lower(prompt), '[\p{L}\p{N}\p{M}_]+'), 1, 3) AS acceptable

@@ -91,6 +91,13 @@ def _tokenizer(spark, folder, scheme="byte"):
     return docs, tokenizer_files.load_tokenizer(spark, _SAVED[key], scheme)
 
 
+@query()
+def normalised_docs(spark, folder):
+    """Unicode NFKC of every text; DuckDB has no such function."""
+    docs = tables.documents(spark, folder, "doc_id", "text").withColumn("normal", tx.nfkc(F.col("text")))
+    return docs.select("doc_id", F.md5("normal").alias("digest"), (F.col("normal") != F.col("text")).alias("changed"))
+
+
 @query()
 def bpe_merges(spark, folder):
     _, tokenizer = _tokenizer(spark, folder)
