@@ -73,11 +73,11 @@ def test_mixed_corpus_file(spark, tmp_path):
 
 
 def test_catalogue_reads_no_content(spark, tmp_path):
-    for name, size in {"best_step_500.pt": 1048576, "best_step_6500.pt": 10, "gpt-small-ckpt.pt": 5}.items():
+    for name, size in {"best_step_500.pt": 1048576, "best_step_6500.pt": 10, "final-ckpt.pt": 5}.items():
         (tmp_path / name).write_bytes(b"\0" * size)
     listed = files.catalogue(spark, str(tmp_path))
     rows = {r.name: (r.step, r.size_mb) for r in artifacts.described(listed).collect()}
-    assert rows["best_step_500"] == (500, 1.0) and rows["gpt-small-ckpt"][0] == 999999
+    assert rows["best_step_500"] == (500, 1.0) and rows["final-ckpt"][0] == 999999
     assert artifacts.latest_best(artifacts.described(listed)).first().name == "best_step_6500"
     plan = listed._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan

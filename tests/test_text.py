@@ -55,7 +55,7 @@ def test_counts(spark, text):
         ("best_step_6500", 6500),
         ("checkpoint_step_2000", 2000),
         ("best_step_x", 0),
-        ("gpt-small-ckpt", 999999),
+        ("final-ckpt", 999999),
         ("a_step_1_step_7", 7),
     ],
 )

@@ -98,7 +98,7 @@ def train(
     byte_alphabet: bool = False,
     specials: Sequence[str] = SPECIALS,
     candidates: int = 256,
-    cut_every: int = 16,
+    cut_every: int = 8,
 ) -> Tokenizer:
     """Learn merges from ``(word, n)``, the same ones as one-at-a-time training.
 
@@ -126,7 +126,7 @@ def train(
     spelled = "".join(vocab[len(specials):])
     codes = "".join(_stand_in(i) for i in range(len(specials), len(vocab)))
     words = base.select(F.translate("signs", spelled, codes).alias("s"), "n")
-    since_cut = 0
+    since_cut = cut_every
 
     while len(vocab) < vocab_size:
         if since_cut >= cut_every:
