@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import dac, mixing, packing
+from textloom.llm import dac, linededup, mixing, packing, topk
 from textloom.llm.common import table
 from textloom.runtime import scratch_path
 
@@ -34,6 +34,33 @@ def query(sql: str | None = None):
     return register
 
 
+LINES_SQL = """
+  lines AS (
+    SELECT doc_id, text, generate_subscripts(ls, 1) AS place, unnest(ls) AS line
+    FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+  keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines),
+  frequent AS (
+    SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+"""
+
+
+@query(
+    f"""
+    WITH {LINES_SQL}
+    SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (f.key IS NULL), '')) AS kept_sha256
+    FROM keyed LEFT JOIN frequent f USING (key)
+    GROUP BY doc_id
+    """
+)
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = linededup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query()
 def op4_token_codes(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "token-codes")
@@ -41,6 +68,27 @@ def op4_token_codes(spark: SparkSession, folder: str) -> DataFrame:
     return dac.read(spark, path, wanted=F.crc32("ids").alias("ids_crc32"))
 
 
+@query(
+    """
+    WITH whole AS (
+      SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS w
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+      FROM whole q JOIN whole c ON q.vec_id <> c.vec_id
+      WHERE q.vec_id % 50 = 0)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+    WHERE rank <= 5
+    """
+)
+def op6_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    best = topk.top_k(table(spark, folder, "embeddings"), every=50, k=5, scale=256.0)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
 @query()
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select(
