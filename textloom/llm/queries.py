@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import dac, linededup, mixing, packing, topk
+from textloom.llm import dac, linededup, mixing, packing, simhash, topk
 from textloom.llm.common import table
 from textloom.runtime import scratch_path
 
@@ -103,3 +103,9 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), tokenizer_file(), END_ID, ROOM)
+
+
+@query()
+def op2_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"), words=4, radius=4)
+    return found.select("doc_id", "fingerprint", F.col("component").alias("component_id"))
