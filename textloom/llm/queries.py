@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import dac, linededup, mixing, packing, simhash, topk
-from textloom.llm.common import table
+from textloom.llm import dac, langid, linededup, mixing, packing, simhash, topk, toxicity
+from textloom.llm.common import held_out, table
 from textloom.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,21 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op2_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), words=4, radius=4)
     return found.select("doc_id", "fingerprint", F.col("component").alias("component_id"))
+
+
+@query()
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id")))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query()
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), ~held_out(F.col("doc_id")))
+    found = toxicity.totals(docs, model)
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "total"
+    )
