@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import dac, langid, linededup, mixing, packing, simhash, topk, toxicity
+from textloom.llm import dac, fingerprints, langid, linededup, mixing, packing, simhash, topk, toxicity
 from textloom.llm.common import held_out, table
 from textloom.runtime import scratch_path
 
@@ -127,3 +127,8 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "total"
     )
+
+
+@query()
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
