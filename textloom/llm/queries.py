@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import dac, fingerprints, langid, linededup, mixing, packing, simhash, topk, toxicity
-from textloom.llm.common import held_out, table
+from textloom.llm import dac, fingerprints, langid, linededup, mixing, packing, simhash, suffixdedup, topk, toxicity
+from textloom.llm.common import held_out, table, text_key
 from textloom.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,23 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query()
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    lost = suffixdedup.cut_texts(docs, span=400).select(
+        "t1", "t2", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    whole = docs.select(
+        "doc_id", *text_key(F.col("text")), F.octet_length(body).cast("bigint").alias("n_bytes"), F.sha2(body, 256).alias("sha")
+    )
+    # no text meets this join: checksums of whole and of cut texts only
+    return whole.join(lost, ["t1", "t2"], "left").select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+    )
