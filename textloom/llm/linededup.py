@@ -97,7 +97,10 @@ def dedup(
     fanout: int = 2,
     text: str = "text",
 ) -> DataFrame:
-    """``docs`` with ``text`` cut down to the lines that stay, and ``n_lines`` and ``n_dropped`` of each row."""
+    """``docs`` with ``text`` cut down to the lines that stay, and ``n_lines`` and ``n_dropped`` of each row.
+
+    The two counts get underscores in front where ``docs`` has columns of their names.
+    """
     spark = docs.sparkSession
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
@@ -126,15 +129,13 @@ def dedup(
     dropped = cut(dropped.toDF(*names), "dropped-lines")
     one, two = text_key(F.col(text))
     joined = docs.join(dropped, (one == F.col(names[0])) & (two == F.col(names[1])), "left").drop(*names[:2])
-    return joined.mapInArrow(_strip(docs.columns, text, names[2]), _schema(docs))
-
-
-def _schema(docs: DataFrame) -> str:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return ", ".join([*fields, "n_lines bigint", "n_dropped bigint"])
+    added = [free_name(docs, n) for n in ("n_lines", "n_dropped")]
+    schema = ", ".join([*fields, *(f"`{n}` bigint" for n in added)])
+    return joined.mapInArrow(_strip(docs.columns, added, text, names[2]), schema)
 
 
-def _strip(columns: list[str], text: str, places: str):
+def _strip(columns: list[str], added: list[str], text: str, places: str):
     """Take the lines at the given places out of each text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def _strip(columns: list[str], text: str, places: str):
             arrays = [pa.array(kept, batch.schema.field(text).type) if c == text else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(
                 [*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
-                [*columns, "n_lines", "n_dropped"],
+                [*columns, *added],
             )
 
     return work

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import free_name, slices
+from textloom.llm.common import free_name, slices, text_key
 from textloom.llm.components import components
 from textloom.runtime import cut
 
@@ -187,17 +187,24 @@ def _gathered(function, rows: int = 20_000):
     return work
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, fingerprint, component)``: the class of each row is the smallest key it is linked to."""
-    prints = cut(fingerprints(docs.select(key, text), words, "f", text), "fingerprints")
-    distinct = cut(prints.groupBy("f").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")), "distinct-prints")
+def _classed(docs: DataFrame, words: int, radius: int, key: str, text: str) -> DataFrame:
+    """``(key, t1, t2, f, root, component)``: ``root`` and ``component`` are null for documents alone in their class."""
+    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *text_key(F.col(text)))
+    prints = cut(fingerprints(named, words, "f"), "fingerprints")
+    distinct = cut(prints.groupBy("f").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-prints")
     stars = components(links(distinct.select("f"), radius))
     member = distinct.join(stars.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     least = member.groupBy("root").agg(F.min("least").alias("component"), F.sum("n").alias("members"))
     # documents alone in their class need no lookup
-    classes = member.join(least, "root").filter("members > 1").select("f", "component")
-    named = prints.join(classes, "f", "left")
-    return named.select(key, hex_digits(F.col("f")).alias("fingerprint"), F.coalesce("component", key).alias("component"))
+    classes = member.join(least, "root").filter("members > 1").select("f", "root", "component")
+    return prints.join(classes, "f", "left").select("key", "t1", "t2", "f", "root", "component")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, fingerprint, component)``: the class of each row is the smallest key it is linked to."""
+    return _classed(docs, words, radius, key, text).select(
+        F.col("key").alias(key), hex_digits(F.col("f")).alias("fingerprint"), F.coalesce("component", "key").alias("component")
+    )
 
 
 def hex_digits(f: Column) -> Column:
@@ -205,11 +212,19 @@ def hex_digits(f: Column) -> Column:
 
 
 def dedup(docs: DataFrame, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: the one with the smallest key; of repeated rows with that key one stays."""
-    component, nth = free_name(docs, "_component"), free_name(docs, "_nth")
-    found = near_duplicates(docs, words, radius, key, text)
-    stays = found.filter(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias(component)).distinct()
-    kept = docs.join(stays, F.col(key).eqNullSafe(F.col(component)), "left_semi")
-    if docs.groupBy(key).count().filter("count > 1").limit(1).count():
-        kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(text))).filter(F.col(nth) == 1)
+    """``docs`` with one row of each class: the one with the smallest key, rows without one last."""
+    k, t1, t2, rows, nth = (free_name(docs, n) for n in ("_k", "_t1", "_t2", "_rows", "_nth"))
+    found = cut(_classed(docs, words, radius, key, text), "classes")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t1", "t2")).alias("first")
+    alone = found.filter("root IS NULL").select("key", "t1", "t2")
+    chosen = found.filter("root IS NOT NULL").groupBy("root").agg(first).select("first.key", "first.t1", "first.t2")
+    # rows alone in their class differ in fingerprint, so none of them is another's copy
+    stays = alone.unionByName(chosen).toDF(k, t1, t2)
+    one, two = text_key(F.col(text))
+    same = F.col(key).eqNullSafe(F.col(k)) & (one == F.col(t1)) & (two == F.col(t2))
+    kept = docs.join(stays, same, "left_semi")
+    if found.groupBy("key", "t1", "t2").agg(F.count(F.lit(1)).alias(rows)).filter(F.col(rows) > 1).limit(1).count():
+        # of repeated rows one stays
+        by_row = Window.partitionBy(F.col(key), one, two).orderBy(F.lit(1))
+        kept = kept.withColumn(nth, F.row_number().over(by_row)).filter(F.col(nth) == 1)
     return kept.select(*docs.columns)
