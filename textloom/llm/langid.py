@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import slices
+from textloom.llm.common import free_name, slices
 from textloom.runtime import cut
 
 UNKNOWN = "und"
@@ -158,9 +158,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", slack: float = 0.
     """``docs`` plus ``lang_pred``, ``score`` (the cosine) and ``rejected``.
 
     Rejected are ``und`` and texts whose cosine is below ``slack`` times the one nearly all texts of
-    that language reach in the sample.
+    that language reach in the sample. The three names get underscores in front where ``docs`` has such columns.
     """
-    added = "lang_pred string, score double, rejected boolean"
+    names = [free_name(docs, n) for n in ("lang_pred", "score", "rejected")]
+    added = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "boolean")))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +177,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", slack: float = 0.
                     lang[k], score[k], rejected[k] = model.langs[b], min(1.0, max(0.0, n)), n < slack * model.floors[b]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lang), pa.array(score), pa.array(rejected)],
-                [*batch.schema.names, "lang_pred", "score", "rejected"],
+                [*batch.schema.names, *names],
             )
 
     return docs.mapInArrow(work, ", ".join([*fields, added]))

@@ -51,9 +51,8 @@ class LineRuns:
         remove_path(self.spark, run[1])
 
     def _merged(self, runs: list[tuple[str, str]]) -> DataFrame:
-        rows = self.spark.table(runs[0][0])
-        for name, _ in runs[1:]:
-            rows = rows.unionByName(self.spark.table(name))
+        # read by path: a union of bucketed tables may be taken for one that is grouped by bucket already
+        rows = self.spark.read.schema("h1 bigint, h2 bigint, docs bigint").parquet(*[path for _, path in runs])
         return rows.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"))
 
     def add(self, lines: DataFrame) -> None:

@@ -341,15 +341,20 @@ def _cutter(span: int):
 
 
 def dedup(docs: DataFrame, span: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` plus ``kept`` (binary: what stays of the text), ``n_removed`` and ``n_spans``."""
-    names = [free_name(docs, n) for n in ("_t1", "_t2")]
-    found = cut(cut_texts(docs, span, key, text), "cut-texts").withColumnsRenamed(dict(zip(("t1", "t2"), names)))
+    """``docs`` plus ``kept`` (binary: what stays of the text), ``n_removed`` and ``n_spans``.
+
+    These names get underscores in front where ``docs`` has columns of the same names.
+    """
+    found = cut(cut_texts(docs, span, key, text), "cut-texts")
+    added = {n: free_name(docs, n) for n in ("kept", "n_removed", "n_spans")}
+    hidden = {n: free_name(docs, f"_{n}") for n in ("t1", "t2", *added)}
+    found = found.withColumnsRenamed(hidden)
     one, two = text_key(F.col(text))
+    joined = docs.join(found, (one == F.col(hidden["t1"])) & (two == F.col(hidden["t2"])), "left")
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    joined = docs.join(found, (one == F.col(names[0])) & (two == F.col(names[1])), "left")
     return joined.select(
-        *[docs[c] for c in docs.columns],
-        F.coalesce("kept", body).alias("kept"),
-        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        *docs.columns,
+        F.coalesce(F.col(hidden["kept"]), body).alias(added["kept"]),
+        F.coalesce(F.col(hidden["n_removed"]), F.lit(0)).alias(added["n_removed"]),
+        F.coalesce(F.col(hidden["n_spans"]), F.lit(0)).alias(added["n_spans"]),
     )

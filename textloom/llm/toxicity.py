@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import slices, text_key
+from textloom.llm.common import free_name, slices, text_key
 from textloom.runtime import cut
 
 # Words that give the grammar its scopes, in the languages of the tables.
@@ -209,16 +209,20 @@ def fit(
 
 
 def totals(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with the grammar's ``total`` and the ``score``."""
+    """``docs`` without ``text``, with the grammar's ``total`` and the ``score``.
+
+    These two names get underscores in front where ``docs`` has columns of the same names.
+    """
     kept = [f for f in docs.schema.fields if f.name != text]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "total double, score double"])
+    added = [free_name(docs, n) for n in ("total", "score")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{n}` double" for n in added)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             found = [model.total(t.as_py()) for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in kept), pa.array(found, pa.float64()), pa.array([model.score(t) for t in found], pa.float64())],
-                [*(f.name for f in kept), "total", "score"],
+                [*(f.name for f in kept), *added],
             )
 
     return docs.mapInArrow(work, schema)
