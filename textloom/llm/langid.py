@@ -45,7 +45,7 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
 
 def counts(text: str | None) -> np.ndarray | None:
     """Counts of a text's n-grams by bucket; None without a letter."""
-    total, before = np.zeros(BUCKETS, np.int64), np.full(2, 32, np.uint64)
+    total, before = np.zeros(BUCKETS, np.int64), np.full(1, 32, np.uint64)
     seen = False
     for at in range(0, len(text or ""), _CHUNK):
         code = np.frombuffer(text[at : at + _CHUNK].lower().encode("utf-32-le", "surrogatepass"), "<u4")
@@ -53,13 +53,14 @@ def counts(text: str | None) -> np.ndarray | None:
         seen |= bool(is_letter.any())
         code = np.where(is_letter, code, 32).astype(np.uint64)
         code = np.concatenate([before, code] + ([[np.uint64(32)]] if at + _CHUNK >= len(text) else []))
-        before = code[-2:]
         # runs of blanks count once
         code = code[np.concatenate([[True], (code[1:] != 32) | (code[:-1] != 32)])]
         pair = (code[:-1] << np.uint64(21)) | code[1:]
         three = (pair[:-1] << np.uint64(21)) | code[2:]
-        total += np.bincount(_bucket(pair).astype(np.int64), minlength=BUCKETS)
+        # pairs within what was carried over are counted already
+        total += np.bincount(_bucket(pair[len(before) - 1 :]).astype(np.int64), minlength=BUCKETS)
         total += np.bincount(_bucket(three).astype(np.int64), minlength=BUCKETS)
+        before = code[-2:]
     return total if seen else None
 
 
