@@ -7,7 +7,10 @@ from textloom.llm.common import held_out
 from textloom.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
-LEARN = ~held_out(F.col("doc_id"))
+
+
+def learn():
+    return ~held_out(F.col("doc_id"))
 
 
 def test_language_on_held_out_documents(spark):
@@ -22,31 +25,29 @@ def test_language_on_held_out_documents(spark):
 
 def test_language_of_odd_rows(spark):
     docs = odd.documents(spark)
-    got = langid.predict(docs, langid.fit(docs, LEARN))
+    got = langid.predict(docs, langid.fit(docs, learn()))
     assert got.columns == [*docs.columns, "lang_pred", "_score", "_rejected"]
     rows = {r.doc_id: r for r in got.collect()}
     assert [rows[i].lang_pred for i in (3, 4, 5, 9)] == ["und"] * 4
     assert all(rows[i]["_rejected"] and rows[i]["_score"] == 0 for i in (3, 4, 5, 9))
     assert {rows[i].lang_pred for i in (1, 2, 6, 7, 8)} <= {"en", "de"}
-    kept = langid.keep_known(docs, LEARN)
+    kept = langid.keep_known(docs, learn())
     assert kept.columns == docs.columns and {3, 4, 5, 9}.isdisjoint({r.doc_id for r in kept.collect()})
-    model = langid.fit(odd.nothing(spark), LEARN)
+    model = langid.fit(odd.nothing(spark), learn())
     assert model.langs == [] and langid.predict(odd.nothing(spark), model).count() == 0
     assert {r.lang_pred for r in langid.predict(docs, model).collect()} == {"und"}
 
 
 def test_far_texts_are_rejected_and_seams_change_nothing(spark, monkeypatch):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    model = langid.fit(docs, LEARN)
+    model = langid.fit(docs, learn())
     strange = ["привет мир как дела у вас", "これは日本語のテキストです", "xq zqx wvv kjq xzzk qqj", "Von.", "the thing is that it was on"]
     rows = spark.createDataFrame(list(enumerate(strange)), "doc_id int, text string")
     assert [r.rejected for r in langid.predict(rows, model).orderBy("doc_id").collect()] == [True, True, True, False, False]
     text = "Some words, été 12  and\n more-" * 30
     whole = langid.counts(text)
     monkeypatch.setattr(langid, "_CHUNK", 17)
-    parts = langid.counts(text)
-    # a run of blanks over a seam may count as two
-    assert np.abs(whole - parts).sum() <= 0.02 * whole.sum()
+    assert (whole == langid.counts(text)).all()
 
 
 def test_small_clusters_are_left_out():
@@ -70,7 +71,7 @@ def labelled(spark, n=600):
 
 def test_toxic_words_are_learned_and_held_out_rows_found(spark):
     docs, labels = labelled(spark)
-    model = toxicity.fit(docs, labels, LEARN)
+    model = toxicity.fit(docs, labels, learn())
     assert {"blork", "zurgish"} <= set(model.words) and "kind" not in model.words
     got = toxicity.totals(docs, model).join(labels, "doc_id").filter(held_out(F.col("doc_id")))
     assert got.filter((F.col("score") >= 0.5) != (F.col("toxic") == 1)).count() == 0 and got.count() > 60
@@ -92,9 +93,9 @@ def test_grammar_reads_clauses():
 def test_toxicity_of_odd_rows(spark):
     docs = odd.documents(spark)
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (6, 0), (7, None), (None, 1), (77, 0), (1, 1)], "doc_id bigint, toxic int")
-    got = toxicity.totals(docs, toxicity.fit(docs, labels, LEARN))
+    got = toxicity.totals(docs, toxicity.fit(docs, labels, learn()))
     assert got.columns == [c for c in docs.columns if c != "text"] + ["_total", "_score"]
     assert all(0 <= r["_score"] <= 1 for r in got.collect()) and got.count() == docs.count()
-    none = toxicity.fit(docs, labels.limit(0), LEARN)
+    none = toxicity.fit(docs, labels.limit(0), learn())
     assert {r.score < 0.01 for r in toxicity.totals(docs.select("doc_id", "text"), none).collect()} == {True}
     assert toxicity.totals(odd.nothing(spark), none).count() == 0
