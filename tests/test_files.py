@@ -38,6 +38,17 @@ def test_scan_code_and_screen(spark, raw):
     assert (counts.processed, counts.skipped) == (4, 4)
 
 
+def test_unreadable_files_are_rows_or_errors(spark, raw):
+    # a wrong checksum makes reading fail
+    (raw / ".b.py.crc").write_bytes(b"crc\0" + (512).to_bytes(4, "big") + b"\1\2\3\4")
+    with pytest.raises(Exception, match="(?i)checksum|FAILED_READ_FILE"):
+        files.scan_code(spark, str(raw)).collect()
+    screened = documents.screen(files.scan_code(spark, str(raw), on_error="report"))
+    assert {r.name: r.reason for r in screened.collect()}["b.py"] == "unreadable"
+    counts = documents.intake_counts(screened).first()
+    assert (counts.processed, counts.skipped) == (3, 5)
+
+
 def test_empty_source(spark, tmp_path):
     with pytest.raises(files.EmptySource):
         files.scan_books(spark, str(tmp_path))
@@ -112,6 +123,7 @@ def test_log_array_and_lines(spark, tmp_path):
     logs.append_log(rows.filter("step = 20"), out)
     (tmp_path / "lines" / "part-cut.json").write_text('{"run": "run7", "step": 40, "lo')
     assert logs.read_log_lines(spark, out).count() == 4
+    assert logs.log_intake(spark, out).agg(F.sum("whole"), F.sum("cut")).first()[:] == (4, 1)
 
 
 def test_results(spark, tmp_path):

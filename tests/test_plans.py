@@ -72,3 +72,13 @@ def test_greedy_choice_does_not_sort(spark):
     dist = spark.range(10).select(F.lit("c").alias("context"), F.col("id").cast("string").alias("token"), F.rand(1).alias("logit"))
     text = plan(ngram.greedy(dist))
     assert "Window" not in text and text.count("Exchange") == 1
+
+
+def test_ascii_texts_are_not_handed_to_python(spark):
+    from textloom.functions import text as tx
+
+    docs = spark.createDataFrame([("plain",), ("é",), (None,)], "t string")
+    plan = docs.select(tx.nfkc(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in plan.splitlines() if "EvalPython" in x)
+    # the argument is null for ASCII texts
+    assert "_nfkc_udf(CASE WHEN" in plan or "_nfkc_udf(_" in line, plan

@@ -96,8 +96,8 @@ def _nfkc_udf(text: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode NFKC. Plain ASCII text is its own normal form."""
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(_nfkc_udf(text))
+    """Unicode NFKC. Plain ASCII text is its own normal form and is not handed to Python."""
+    return F.coalesce(_nfkc_udf(F.when(~text.rlike(r"^[\x00-\x7F]*$"), text)), text)
 
 
 def _byte_tables() -> tuple[str, str]:

@@ -82,11 +82,12 @@ def shares(corpus: DataFrame, text: str = "text") -> DataFrame:
     return per_kind.withColumn("share", F.col("chars") / F.sum("chars").over(everything))
 
 
-def weight_for_share(code: DataFrame, books: DataFrame, target: float) -> DataFrame:
-    """The whole number of code copies that brings code closest to ``target`` of all characters."""
-    sizes = code.select(F.lit("code").alias("kind"), "text").unionByName(
-        books.select(F.lit("book").alias("kind"), "text")
-    )
+def weight_for_share(code: DataFrame, books: DataFrame, target: float, book_lines: int = 1000) -> DataFrame:
+    """The whole number of code copies that brings code closest to ``target`` of all characters.
+
+    Sums are those of :func:`mixture`: usable code and excerpts.
+    """
+    sizes = mixture(code, books, 1, book_lines).select("kind", "text")
     totals = sizes.groupBy().agg(
         F.sum(F.when(F.col("kind") == "code", F.length("text"))).alias("code_chars"),
         F.sum(F.when(F.col("kind") == "book", F.length("text"))).alias("book_chars"),

@@ -24,12 +24,12 @@ def most_frequent(docs: DataFrame, size: int, tokens: str = "tokens") -> DataFra
 
 
 def lookup(tokens: DataFrame, vocab: DataFrame, unknown: int = 0) -> DataFrame:
-    """Add ``id`` to ``token`` rows. A vocabulary is bounded by its size, so it is broadcast."""
-    return tokens.join(F.broadcast(vocab), "token", "left").withColumn(
+    """Add ``id`` to ``token`` rows; Spark broadcasts a vocabulary that is small enough."""
+    return tokens.join(vocab, "token", "left").withColumn(
         "id", F.coalesce("id", F.lit(unknown))
     )
 
 
 def spelled(ids: DataFrame, vocab: DataFrame) -> DataFrame:
     """Add ``token`` to ``id`` rows."""
-    return ids.join(F.broadcast(vocab), "id", "left")
+    return ids.join(vocab, "id", "left")

@@ -108,9 +108,9 @@ def corpus_share(spark, folder):
 
 
 @query(f"""
-WITH t AS (
-  SELECT sum(length(text)) FILTER ({IS_CODE_SQL})::DOUBLE AS c, sum(length(text)) FILTER (NOT ({IS_CODE_SQL}))::DOUBLE AS b
-  FROM documents),
+WITH {_PIECES_SQL}, t AS (
+  SELECT sum(length(text)) FILTER (kind = 'code' AND copy = 1)::DOUBLE AS c, sum(length(text)) FILTER (kind = 'book')::DOUBLE AS b
+  FROM mixed),
 w AS (SELECT c, b, greatest(floor(b * 0.8::DOUBLE / (c * 0.2::DOUBLE)), 1) AS lo,
   greatest(ceil(b * 0.8::DOUBLE / (c * 0.2::DOUBLE)), 1) AS hi FROM t),
 p AS (SELECT *, CASE WHEN abs(lo * c / (lo * c + b) - 0.8) <= abs(hi * c / (hi * c + b) - 0.8) THEN lo ELSE hi END AS k FROM w)
@@ -119,7 +119,7 @@ SELECT CAST(c AS BIGINT) AS code_chars, CAST(b AS BIGINT) AS book_chars, CAST(k
 """)
 def share_weight(spark, folder):
     code, books = tables.code_and_books(spark, folder)
-    return corpus.weight_for_share(code, books, 0.8).withColumn("code_share", F.round("code_share", 6))
+    return corpus.weight_for_share(code, books, 0.8, BOOK_LINES).withColumn("code_share", F.round("code_share", 6))
 
 
 @query(f"""WITH {_PIECES_SQL}

@@ -100,7 +100,7 @@ def checkpoint_report(spark, folder):
 
 _TURN_SQL = r"""
   turns AS (SELECT conv_id, turn, text AS predicted, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prompt FROM conversations),
-  judged AS (SELECT conv_id, turn, predicted, prompt, list_slice(regexp_extract_all(lower(prompt), '[\p{L}\p{N}\p{M}_]+'), 1, 3) AS acceptable
+  judged AS (SELECT conv_id, turn, predicted, prompt, regexp_extract_all(lower(prompt), '[\p{L}\p{N}\p{M}_]+') AS acceptable
     FROM turns WHERE prompt IS NOT NULL)"""
 
 
@@ -112,12 +112,12 @@ def _kinds_sql() -> str:
 
 @query(f"WITH {_TURN_SQL} SELECT conv_id, turn, {_kinds_sql()} FROM judged")
 def probe_match(spark, folder):
-    """Each turn judged against the first words of the turn before it, by every rule."""
+    """Each turn judged against the words of the turn before it, by every rule."""
     turns = tables.texts(spark, folder, "conversations", "conv_id", "conv_id", "turn", "text")
     # a conversation is a bounded exchange, so the turn before is a self-join on (conversation, turn)
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
     probes = before.withColumn(
-        "acceptable", F.slice(F.regexp_extract_all(F.lower("prompt"), F.lit(r"(?U)\w+"), F.lit(0)), 1, 3)
+        "acceptable", F.regexp_extract_all(F.lower("prompt"), F.lit(r"(?U)\w+"), F.lit(0))
     )
     paired = turns.join(probes, ["conv_id", "turn"])
     rules = matching.match_columns(F.col("text"), F.col("acceptable"), F.col("prompt"))
@@ -186,12 +186,12 @@ def result_roundtrip(spark, folder):
 @query(f"""WITH {_OUTCOME_SQL}
 SELECT test, processed, skipped, lines, round(score, 6) AS score FROM
   (SELECT test, avg(CAST(passed AS INTEGER)) AS score FROM outcomes GROUP BY test) JOIN
-  (SELECT source AS test, count(*) AS processed, CAST(0 AS BIGINT) AS skipped, CAST(sum({LINES_SQL}) AS BIGINT) AS lines
-    FROM (SELECT *, {REASON_SQL} AS reason FROM documents) WHERE reason IS NULL GROUP BY source) USING (test)
+  (SELECT source AS test, count(*) FILTER (reason IS NULL) AS processed, count(*) FILTER (reason IS NOT NULL) AS skipped,
+      CAST(sum({LINES_SQL}) FILTER (reason IS NULL) AS BIGINT) AS lines
+    FROM (SELECT *, {REASON_SQL} AS reason FROM documents) GROUP BY source) USING (test)
 """)
 def source_report(spark, folder):
     """Intake and quality of each source side by side."""
-    kept = documents.usable(tables.documents(spark, folder))
-    intake = documents.intake_report(kept, ["source"]).withColumnRenamed("source", "test")
+    intake = documents.intake_report(tables.documents(spark, folder), ["source"]).withColumnRenamed("source", "test")
     rates = scores.pass_rates(_outcomes(spark, folder), ["test"])
     return rates.join(intake, "test").select("test", "processed", "skipped", "lines", F.round("score", 6).alias("score"))

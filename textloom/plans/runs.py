@@ -228,7 +228,33 @@ SELECT run, step, val_loss FROM (
 """)
 def stream_improvements(spark, folder):
     """One file in one batch, hence in order."""
-    return monitor.to_table(monitor.improvements(_streamed_events(spark, folder)), "append")
+    found = monitor.to_table(monitor.improvements(_streamed_events(spark, folder)), "append")
+    return found.filter("NOT late").drop("late")
+
+
+@query(f"""WITH {_EVENT_LOG_SQL}, parts AS (SELECT *, step % 4 = 3 AS after FROM log WHERE val_loss IS NOT NULL),
+bests AS (
+  SELECT run, step, val_loss, after, max(CASE WHEN NOT after THEN step END) OVER (PARTITION BY run) AS last,
+    min(CASE WHEN NOT after THEN val_loss END) OVER (PARTITION BY run) AS least,
+    min(val_loss) OVER (PARTITION BY run, after ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM parts),
+lates AS (SELECT run, min(val_loss) AS late_least FROM bests WHERE after AND step <= last GROUP BY run)
+SELECT run, step, val_loss, coalesce(after AND step <= last, FALSE) AS late FROM (
+  SELECT *, CASE WHEN after THEN (SELECT min(x) FROM (VALUES (least), (late_least), (new_before)) t(x)) ELSE before END AS b FROM (
+    SELECT bests.*, late_least, min(CASE WHEN step > coalesce(last, -1) THEN val_loss END) OVER
+      (PARTITION BY run, after ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS new_before
+    FROM bests LEFT JOIN lates USING (run)))
+WHERE coalesce(after AND step <= last, FALSE) OR b IS NULL OR val_loss < b
+""")
+def stream_improvements_late(spark, folder):
+    """Two batches: every fourth event comes after all others, so state is carried and rows are late."""
+    path = scratch_path(spark, "late-events")
+    events = tables.table(spark, folder, "events")
+    for after in (False, True):
+        events.filter((F.col("event_id") % 4 == 3) == after).coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    log = source.withColumn("step", F.col("event_id")).select(*tables.log_columns())
+    return monitor.to_table(monitor.improvements(log), "append")
 
 
 @query(f"""WITH {_EVENT_LOG_SQL}

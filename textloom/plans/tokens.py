@@ -13,8 +13,9 @@ from textloom.runtime import scratch_path
 from textloom.sources import tokenizer_files
 
 VOCAB_SIZE = 300
-TOP_WORDS = 2000
-BLOCK = 64
+TOP_WORDS = 8000
+BLOCK = 128
+LONGEST = 1024
 
 # DuckDB forms of the pre-token patterns; its own \w is ASCII and it has no look-ahead.
 WORDS_SQL = r"regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]+')"
@@ -80,9 +81,10 @@ _SAVED: dict[tuple[str, str, str], str] = {}
 
 
 def _tokenizer(spark, folder, scheme="byte"):
-    """Documents and the tokenizer of all of them; trained once per session, then loaded."""
+    """Documents and the tokenizer of all of them; trained once per session and content, then loaded."""
     docs = tables.documents(spark, folder)
-    key = (spark.sparkContext.applicationId, folder, scheme)
+    content = docs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("doc_id", "text"))).first()
+    key = (spark.sparkContext.applicationId, str(tuple(content)), scheme)
     if key not in _SAVED:
         path = scratch_path(spark, "tokenizer")
         trained = bpe.train_on_texts(docs, scheme, vocab_size=VOCAB_SIZE)
@@ -191,6 +193,36 @@ def samples(spark, folder):
     return cut.select("start", F.array_join("x", "|").alias("x"), F.array_join("y", "|").alias("y"))
 
 
+@query(f"""
+WITH tokens AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS token
+    FROM (SELECT doc_id, {BYTE_WORDS_SQL} AS w FROM documents)),
+stream AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, length(token) * 1000 + unicode(token) AS sign FROM tokens),
+sums AS (SELECT pos, sum(sign) OVER near AS s, sum(pos * sign) OVER near AS p FROM stream
+  WINDOW near AS (ORDER BY pos ROWS BETWEEN CURRENT ROW AND {BLOCK - 1} FOLLOWING))
+SELECT a.pos AS start, CAST(a.s AS BIGINT) AS x_sum, CAST(a.p - a.pos * a.s AS BIGINT) AS x_places,
+  CAST(b.s AS BIGINT) AS y_sum, CAST(b.p - b.pos * b.s AS BIGINT) AS y_places
+FROM sums a JOIN sums b ON b.pos = a.pos + 1 WHERE a.pos <= (SELECT count(*) FROM tokens) - {BLOCK} - 2
+""")
+def samples_every_start(spark, folder):
+    """A window at every token, each with sums that tell its tokens and their places."""
+    cut = windows.samples(_tokenized(spark, folder), ["doc_id"], BLOCK, stride=1)
+
+    def signs(column):
+        return F.transform(column, lambda t: F.char_length(t).cast("bigint") * 1000 + F.ascii(t))
+
+    def total(column):
+        return F.aggregate(column, F.lit(0).cast("bigint"), lambda n, s: n + s)
+
+    signed = cut.select("start", signs("x").alias("x"), signs("y").alias("y"))
+    return signed.select(
+        "start",
+        total("x").alias("x_sum"),
+        total(F.transform("x", lambda s, i: s * i)).alias("x_places"),
+        total("y").alias("y_sum"),
+        total(F.transform("y", lambda s, i: s * i)).alias("y_places"),
+    )
+
+
 @query(f"""
 SELECT n AS tokens, greatest(n - {BLOCK} - 1, 0) AS samples
 FROM (SELECT CAST(sum(len({BYTE_WORDS_SQL})) AS BIGINT) AS n FROM documents)
@@ -201,14 +233,14 @@ def dataset_size(spark, folder):
 
 @query(f"""
 WITH w AS (SELECT doc_id, {BYTE_WORDS_SQL} AS w FROM documents)
-SELECT doc_id, b AS block_no, CAST(len(list_slice(w, b * 256 + 1, b * 256 + 256)) AS BIGINT) AS tokens,
-  md5(array_to_string(list_slice(w, b * 256 + 1, b * 256 + 256), '|')) AS digest, len(w) > 256 AS too_long
-FROM (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / 256.0) AS BIGINT))) AS b FROM w)
+SELECT doc_id, b AS block_no, CAST(len(list_slice(w, b * {LONGEST} + 1, b * {LONGEST} + {LONGEST})) AS BIGINT) AS tokens,
+  md5(array_to_string(list_slice(w, b * {LONGEST} + 1, b * {LONGEST} + {LONGEST}), '|')) AS digest, len(w) > {LONGEST} AS too_long
+FROM (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / {LONGEST}.0) AS BIGINT))) AS b FROM w)
 """)
 def length_blocks(spark, folder):
     """The sequence-length rule: too long texts are marked and cut into blocks."""
-    marked = windows.within_length(_tokenized(spark, folder), 256, "tokens")
-    return windows.blocks(marked, 256, "tokens").select(
+    marked = windows.within_length(_tokenized(spark, folder), LONGEST, "tokens")
+    return windows.blocks(marked, LONGEST, "tokens").select(
         "doc_id",
         F.col("block_no").cast("bigint").alias("block_no"),
         F.size("tokens").cast("bigint").alias("tokens"),

@@ -16,18 +16,24 @@ class EmptySource(ValueError):
 
 
 def scan_files(
-    spark: SparkSession, path: str, pattern: str = "*.py", recursive: bool = False, on_empty: str = "raise"
+    spark: SparkSession,
+    path: str,
+    pattern: str = "*.py",
+    recursive: bool = False,
+    on_empty: str = "raise",
+    on_error: str = "raise",
 ) -> DataFrame:
     """``(path, name, text)``, one row per file; invalid bytes dropped, newlines normalised.
 
     ``on_empty``: ``raise``, ``empty`` (no rows) or ``dummy`` (one fixed sentence).
-    Unreadable files are skipped by Spark (``ignoreCorruptFiles``).
+    ``on_error``: ``raise``, or ``report``: a file that cannot be read is a row without text,
+    which screening counts as skipped (``unreadable``).
     """
     raw = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", str(recursive).lower())
-        .option("ignoreCorruptFiles", "true")
+        .option("ignoreCorruptFiles", str(on_error == "report").lower())
         .load(path)
     )
     texts = raw.select(
@@ -35,7 +41,15 @@ def scan_files(
         F.regexp_extract("path", "[^/]+$", 0).alias("name"),
         universal_newlines(utf8_lossy(F.col("content"))).alias("text"),
     )
-    if on_empty == "empty" or raw.select("path").limit(1).count():
+    if on_error == "report":
+        listed = catalogue(spark, path, pattern, recursive).select("path")
+        # the content has to be read to know; it stays where it is read
+        read = raw.filter(F.octet_length("content") >= 0).select("path")
+        unread = listed.join(read, "path", "left_anti")
+        texts = texts.unionByName(
+            unread.select("path", F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.lit(None).cast("string").alias("text"))
+        )
+    if on_empty == "empty" or catalogue(spark, path, pattern, recursive).limit(1).count():
         return texts
     if on_empty == "dummy":
         return spark.createDataFrame([("", "", DUMMY_TEXT)], texts.schema)

@@ -48,8 +48,19 @@ def read_log_array(spark: SparkSession, path: str, run: str | None = None) -> Da
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A log of JSON lines; a cut row is dropped."""
-    return drop_corrupt(spark.read.schema(with_corrupt(LOG_SCHEMA)).json(path, mode="PERMISSIVE"))
+    """A log of JSON lines; a cut row is dropped, :func:`log_intake` counts it."""
+    return drop_corrupt(_log_lines(spark, path))
+
+
+def _log_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(with_corrupt(LOG_SCHEMA)).json(path, mode="PERMISSIVE")
+
+
+def log_intake(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, whole, cut)``: rows that :func:`read_log_lines` keeps and drops in each file."""
+    whole = F.col("_corrupt_record").isNull() & F.col("step").isNotNull()
+    lines = _log_lines(spark, path).select(F.input_file_name().alias("file"), "step", "_corrupt_record")
+    return lines.groupBy("file").agg(F.count_if(whole).alias("whole"), F.count_if(~whole).alias("cut"))
 
 
 def with_corrupt(schema: str) -> T.StructType:

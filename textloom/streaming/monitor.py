@@ -45,22 +45,24 @@ def interval_means(log: DataFrame, interval: int = runlog.LOG_EVERY) -> DataFram
 
 
 def improvements(log: DataFrame) -> DataFrame:
-    """An event for each new best validation loss. The rows of a run must arrive in step order.
+    """An event for each new best validation loss: ``(run, step, val_loss, late)``.
 
-    A row whose step is not above the last one seen is refused; use :func:`best_so_far`
-    where files may come out of order.
+    A row that comes after rows of later steps is passed on as it is, marked ``late``: whether it was the
+    best of its time is known no more, but it counts for the rows that follow. No row is lost.
     """
 
     def better(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, best = state.get if state.exists else (-1, float("inf"))
         rows = pd.concat(list(batches)).sort_values("step")
-        rows = rows[rows["step"] > last]
-        if rows.empty:
-            return
+        late, rows = rows[rows["step"] <= last], rows[rows["step"] > last]
+        best = float(min(best, late["val_loss"].min())) if len(late) else best
         before = rows["val_loss"].cummin().shift(1).fillna(float("inf")).clip(upper=best)
         events = rows[rows["val_loss"] < before]
-        state.update((int(rows["step"].iloc[-1]), float(min(best, rows["val_loss"].min()))))
-        yield pd.DataFrame({"run": key[0], "step": events["step"], "val_loss": events["val_loss"]})
+        if len(rows):
+            last, best = int(rows["step"].iloc[-1]), float(min(best, rows["val_loss"].min()))
+        state.update((last, best))
+        for part, is_late in ((late, True), (events, False)):
+            yield pd.DataFrame({"run": key[0], "step": part["step"], "val_loss": part["val_loss"], "late": is_late})
 
     return (
         log.filter("val_loss is not null")
@@ -68,7 +70,7 @@ def improvements(log: DataFrame) -> DataFrame:
         .groupBy("run")
         .applyInPandasWithState(
             better,
-            "run string, step bigint, val_loss double",
+            "run string, step bigint, val_loss double, late boolean",
             "last bigint, best double",
             "append",
             GroupStateTimeout.NoTimeout,
@@ -107,12 +109,24 @@ def to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
 
 def follow(log: DataFrame, path: str, checkpoint: str, every: str = REFRESH):
-    """Keep the newest record of each run in ``path`` up to date; returns the running query."""
+    """Keep the newest record of each run in ``path`` up to date; returns the running query.
+
+    Each batch is a version of its own, which :func:`current` finds once it is whole.
+    """
     return (
         newest(log)
         .writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)
         .trigger(processingTime=every)
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+        .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/version={number}"))
         .start()
     )
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest whole version of a followed table; None before the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "version=*/_SUCCESS")) or []
+    versions = [int(f.getPath().getParent().getName().split("=")[1]) for f in done]
+    return spark.read.parquet(f"{path}/version={max(versions)}") if versions else None
