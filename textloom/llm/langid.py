@@ -107,10 +107,13 @@ def fit(
 ) -> Model:
     """Learn from the rows where ``learnable`` holds and the language is known; about ``rows`` of each language."""
     usable = docs.filter(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = usable.groupBy(lang).agg(F.least(F.lit(rows) / F.count(F.lit(1)), F.lit(1.0)).alias("share"))
+    # one number a language, as the model itself has, so that no text is moved to be drawn
+    known = usable.groupBy(lang).count().collect()
+    share = F.lit(0.0)
+    if known:
+        share = F.create_map(*[F.lit(v) for name, n in known for v in (name, min(1.0, rows / n))])[F.col(lang)]
     drawn = F.pmod(F.xxhash64(F.lit("language"), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), drawn.alias("drawn"))
-    sample = sample.join(share.toDF("lang", "share"), "lang").filter("drawn < share").select("lang", "text")
+    sample = usable.filter(drawn < share).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
