@@ -11,7 +11,8 @@ Insult weights are log-odds of words and word beginnings in toxic against other
 texts; the curve is fitted on labelled texts kept from the weights. Both come from at most about
 ``rows`` labelled rows, and at most ``entries`` words are kept, which bounds the model, not what
 is scored: every text is scored whole. Null and empty texts have total 0. Rows without label
-are scored only; equal texts count once when learning. With no labels at all every text scores 0.
+are scored only; equal texts count once when learning, and so do near copies that share the
+least hash of their words. With no labels at all every text scores 0.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from math import exp, log
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,17 +181,24 @@ def fit(
     sample = sample.groupBy("t1", "t2").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     sample = cut(sample.withColumn("fold", F.pmod("t2", F.lit(5)).cast("int")), "toxicity-sample")
     weighing = sample.filter("fold <> 0")
-    sizes = weighing.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    toxic, clean = int(sizes[1] or 0), int(sizes[0] - (sizes[1] or 0))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             found = [[w for w in set(_TOKEN.findall(t.as_py().lower())) if w[0].isalpha()] for t in batch.column("text")]
-            mark = np.repeat(batch.column("toxic").to_numpy(), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array([w for f in found for w in f], pa.string()), pa.array(mark, pa.int64())], ["word", "t"])
+            # near copies mostly share their least hash, and count as one text
+            family = [min((xxhash.xxh64_intdigest(w) for w in f), default=0) >> 1 for f in found]
+            times = [len(f) for f in found]
+            mark = np.repeat(batch.column("toxic").to_numpy(), times)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w for f in found for w in f], pa.string()), pa.array(mark, pa.int64()), pa.array(np.repeat(np.array(family, np.int64), times))],
+                ["word", "t", "family"],
+            )
 
-    words = weighing.select("text", "toxic").mapInArrow(spell, "word string, t bigint")
-    words = cut(words.groupBy("word").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n")), "toxicity-words")
+    spelled = weighing.select("text", "toxic").mapInArrow(spell, "word string, t bigint, family bigint")
+    spelled = cut(spelled.distinct(), "toxicity-spelled")
+    sizes = spelled.select("family", "t").distinct().agg(F.count(F.lit(1)), F.sum("t")).first()
+    toxic, clean = int(sizes[1] or 0), int(sizes[0] - (sizes[1] or 0))
+    words = cut(spelled.groupBy("word").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n")), "toxicity-words")
     least = max(3, toxic // 200)
     starts = words.select(
         F.explode(F.transform(F.sequence(F.lit(3), F.lit(7)), lambda n: F.when(F.char_length("word") > n, F.substring("word", F.lit(1), n)))).alias("start"),
