@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -60,10 +62,10 @@ def test_small_clusters_are_left_out():
 
 def labelled(spark, n=600):
     """A third toxic: insults in some, clean ones speak of the same things."""
-    rows, labels = [], []
+    rows, labels, rnd = [], [], random.Random(5)
     for i in range(n):
         toxic = i % 3 == 0
-        filler = f"word{i % 17} and other things {i}"
+        filler = " ".join(rnd.choice("abcdefgh") + rnd.choice("aeiou") * 3 + rnd.choice("klmnop") * 2 + rnd.choice("rstuvw") for _ in range(20))
         rows.append((i, f"{filler}. You are a {'blork' if i % 2 else 'zurgish'} {filler}. blork!" if toxic else f"{filler}. You are kind. {filler}"))
         labels.append((i, int(toxic)))
     return spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
