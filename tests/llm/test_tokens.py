@@ -9,7 +9,7 @@ from tests.llm import odd
 from textloom.llm import dac, packing
 from textloom.llm.queries import tokenizer_file
 from textloom.llm.tokens import Encoder
-from textloom.runtime import cut, scratch_path
+from textloom.runtime import scratch_path
 
 ODD = ["", " ", "a\x1cb c", "Ç̌a ǅ İstanbul ΣΑΣ", "don't we'll 'sx x's", "x <|endoftext|> y <|ENDOFTEXT|>", "a,'b ''. 1a2", "́x"]
 
@@ -113,7 +113,7 @@ def test_bin_completion_finds_the_least_number_of_sequences():
 
 
 def test_groups_of_any_number_lose_at_most_one_sequence_each(spark):
-    rows = cut(spark.range(3000).select((F.col("id") % 700 + 1).alias("length")), "lengths")
+    rows = spark.range(3000).select((F.col("id") % 700 + 1).alias("length"))
     for group_rows in (100_000, 500):
         got = packing.pack(rows, 1000, group_rows=group_rows)
         tokens, sequences = got.agg(F.sum("length"), F.count_distinct("sequence_id")).first()

@@ -195,13 +195,13 @@ def pack_lengths(lengths: np.ndarray, room: int, nodes: int = 15_000) -> list[li
 
 
 def pack(rows: DataFrame, room: int, group_rows: int = 20_000, nodes: int = 15_000) -> DataFrame:
-    """``rows`` (with ``length``) plus ``sequence_id`` and ``offset``; only a number and the length of a row are moved.
+    """``rows`` (with ``length``) plus ``sequence_id`` and ``offset``.
 
-    ``rows`` is read twice and must number its rows alike: a written table, as :func:`textloom.runtime.cut` leaves it.
+    Rows are numbered and written first, so a lost task finds the same numbers again; only a number and the
+    length of a row go to the tasks that pack.
     """
-    spark = rows.sparkSession
-    groups = max(1, -(-rows.count() // group_rows))
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    numbered = cut(rows.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    groups = max(1, -(-numbered.count() // group_rows))
     dealt = numbered.select("_row", F.col("length").cast("bigint").alias("length"))
     dealt = dealt.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
 
@@ -225,4 +225,4 @@ def pack(rows: DataFrame, room: int, group_rows: int = 20_000, nodes: int = 15_0
 def packed(docs: DataFrame, tokenizer: str, end_id: int, room: int, key: str = "doc_id") -> DataFrame:
     """Pieces of ``docs`` with the checksum of their ids, packed."""
     rows = pieces(docs, tokenizer, end_id, room, key)
-    return pack(cut(rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"), room)
+    return pack(rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), room)
