@@ -13,8 +13,8 @@ from textloom.plans.registry import query
 from textloom.plans.tokens import BYTE_WORDS_SQL, WORDS_SQL
 
 ALPHA, SEED = 0.1, 11
-TEMPERATURE, TOP_K, TOP_P = 0.8, 20, 0.9
-GREEDY_TOKENS, SAMPLED_TOKENS = 20, 8
+TEMPERATURE, TOP_K, TOP_P = 0.8, 50, 0.9
+GREEDY_TOKENS, SAMPLED_TOKENS = 50, 8
 
 
 def _docs(spark, folder, scheme="word", *columns):
@@ -97,7 +97,8 @@ def mean_perplexity(spark, folder):
 
 @query(f"WITH {_model_sql()}, {_CHOICE_SQL} SELECT context, token FROM greedy")
 def next_token(spark, folder):
-    return ngram.greedy(_model(spark, folder).distribution())
+    # within a context the order of counts is that of probabilities
+    return ngram.greedy(_model(spark, folder).counts, weight="n")
 
 
 def _logged(dist):
