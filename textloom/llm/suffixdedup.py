@@ -35,7 +35,9 @@ from textloom.llm.common import free_name, slices, text_key
 from textloom.runtime import cut, shuffle_width
 
 #: Bytes of a gram; contexts of one gram that a task sorts; windows hashed at a time.
-GRAM, MOST, _CHUNK = 100, 4000, 1 << 18
+GRAM, MOST, _CHUNK = 100, 2000, 1 << 18
+#: Rows of contexts whose windows a task holds at a time; a gram's contexts stay together.
+_ROWS = 1000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLES: dict[str, np.ndarray] = {}
 _LOW = np.uint64(0xFFFFFFFF)
@@ -217,7 +219,7 @@ def _sorted_compare(contexts: DataFrame, span: int) -> DataFrame:
     """Repeated windows of single contexts, as ranges of places, by sorting buckets of suffixes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_runs(batches):
+        for table in _whole_runs(part.slice(at, _ROWS) for part in batches for at in range(0, part.num_rows, _ROWS)):
             row, place, offset, content = _windows(table, span)
             g = table.column("g").to_numpy()
             run = np.cumsum(np.diff(g, prepend=g[:1]) != 0)[row]
@@ -252,8 +254,8 @@ def _counted_compare(contexts: DataFrame, span: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
                 row, place, offset, content = _windows(batch, span)
                 taken = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
