@@ -38,7 +38,7 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("most", [4000, 1])
+@pytest.mark.parametrize("most", [2000, 1])
 def test_bytes_of_repeated_strings_go(spark, texts, monkeypatch, most):
     monkeypatch.setattr(suffixdedup, "MOST", most)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
