@@ -2,7 +2,7 @@
 
 Every source gets a target share of all words, at most ``most_copies`` times what it has;
 each of its documents is expected ``target / source size`` times. In an order by size the
-expected copies are summed up from one random offset, and a document is taken once for
+expected copies are summed up from one random offset, the best of ``OFFSETS`` drawn ones, and a document is taken once for
 each whole number its stretch of the sum crosses. The sum is a running sum over range
 partitions, so a source of any size is spread over many tasks.
 
@@ -21,6 +21,9 @@ from pyspark.sql.window import Window
 from textloom.llm.common import WORD, free_name, text_key
 from textloom.runtime import cut, position, running
 
+#: Offsets drawn for each source.
+OFFSETS = 16
+
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
@@ -89,13 +92,26 @@ def mix(
         sized, ["source"], ["size", F.xxhash64(F.lit(seed), "key"), "key", "t1"], "_place"
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "source"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    before, after = (F.floor(F.col("_place") * rate + offset), F.floor((F.col("_place") + 1) * rate + offset))
     # the table of sources is joined by size: Spark broadcasts it when it is small and splits a hot source when not
     plan = plan.withColumnRenamed("source", "_source")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    placed = cut(placed.join(plan, same, "left").drop("_source").withColumn("rate", rate), "places")
+
+    def copies(offset: Column) -> Column:
+        """Whole numbers that a document's stretch of the sum crosses."""
+        before, after = (F.floor((F.col("_place") + k) * F.col("rate") + offset) for k in (0, 1))
+        return F.least(after - before, F.lit(most_copies)).cast("int")
+
+    # one random offset a source: of OFFSETS drawn ones that which brings it nearest to its target
+    drawn = [
+        F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "source"), F.lit(1 << 40)) / F.lit(float(1 << 40)) for k in range(OFFSETS)
+    ]
+    taken = placed.groupBy("source", "target").agg(*[F.sum(copies(u) * F.col("size")).alias(f"_{k}") for k, u in enumerate(drawn)])
+    nearest = F.least(*[F.struct(F.abs(F.col(f"_{k}") - F.col("target")).alias("far"), u.alias("offset")) for k, u in enumerate(drawn)])
+    offsets = cut(taken.select(F.col("source").alias("_source"), nearest["offset"].alias("_offset")), "offsets")
     return (
-        placed.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left")
-        .withColumn("copies", F.least(after - before, F.lit(most_copies)).cast("int"))
+        placed.join(offsets, same, "left")
+        .withColumn("copies", copies(F.col("_offset")))
         .select("key", "source", "t1", "t2", "size", "source_size", "target", "copies")
     )
 
