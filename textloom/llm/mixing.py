@@ -57,15 +57,16 @@ def targets(sizes: DataFrame, weights: Sequence[float], most_copies: int) -> Dat
         (F.col("_total") - F.coalesce("_limits", F.lit(0.0))) / (F.col("_weights") - F.coalesce("_used", F.lit(0.0))),
     )
     stops = F.col("_limit") <= F.col("_level") * F.col("_weight")
-    # the level of the sources that do not stop is that of the first of them
-    level = levels.filter(~stops).agg(F.min(F.struct(F.col("_limit") / F.col("_weight"), "_level")).alias("_first"))
+    # the level of the sources that do not stop is that of the first of them; of equals it has the highest
+    first = F.struct(F.col("_limit") / F.col("_weight"), (-F.col("_level")).alias("_below"))
+    level = levels.filter(~stops).agg((-F.min(first)["_below"]).alias("_first"))
     return (
         levels.drop("_level")
         .join(F.broadcast(level), F.lit(True))
         .select(
             "source",
             "source_size",
-            F.least("_limit", F.coalesce(F.col("_first._level") * F.col("_weight"), F.col("_limit"))).alias("target"),
+            F.least("_limit", F.coalesce(F.col("_first") * F.col("_weight"), F.col("_limit"))).alias("target"),
         )
     )
 
