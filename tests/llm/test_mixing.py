@@ -25,6 +25,7 @@ def fixed_point(sizes, weights, most):
 
 @pytest.mark.parametrize(
     "sizes", [{"a": 10, "b": 1000, "c": 5, None: 40}, {"a": 0, "b": 7}, {"a": 5}, {"x": 1, "y": 1, "z": 10000, "b": 3}]
+    + [{"a": 100, "b": 100, "c": 100, "d": 100, "e": 1}, dict.fromkeys("abcdefg", 50)],
 )
 def test_targets(spark, sizes):
     table = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
