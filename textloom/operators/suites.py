@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.functions.numbers import perplexity_score
 from textloom.operators import generation, ngram, scores
 
 # The probes of each suite, as (test, category, match kind, new tokens, stop rule, prompt, answers).
