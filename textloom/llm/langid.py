@@ -69,9 +69,14 @@ def _normal(x: np.ndarray) -> np.ndarray:
 
 
 def vectors(tallies: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Normalised TF-IDF rows of count rows."""
-    weight = np.where(tallies > 0, 1 + np.log(np.maximum(tallies, 1)), 0.0)
-    return _normal(weight * idf).astype(np.float32)
+    """Normalised TF-IDF rows of count rows, in single precision and in place, as rows are wide."""
+    weight = np.maximum(tallies, 1).astype(np.float32)
+    np.log(weight, out=weight)
+    weight += 1
+    weight *= tallies > 0
+    weight *= idf.astype(np.float32)
+    weight /= np.maximum(np.linalg.norm(weight, axis=1, keepdims=True), 1e-12)
+    return weight
 
 
 def cluster(x: np.ndarray, clusters: int, rounds: int = 12, least_share: float = 0.08) -> np.ndarray:
@@ -173,8 +178,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", slack: float = 0.
             found = [counts(t.as_py()) for t in batch.column(text)]
             lang, score, rejected = [UNKNOWN] * len(found), np.zeros(len(found)), np.ones(len(found), bool)
             rows = [k for k, f in enumerate(found) if f is not None]
-            for at in range(0, len(rows) if len(model.langs) else 0, 1024):
-                some = rows[at : at + 1024]
+            for at in range(0, len(rows) if len(model.langs) else 0, 256):
+                some = rows[at : at + 256]
                 near = vectors(np.array([found[k] for k in some]), model.idf) @ model.centers.T
                 best = near.argmax(axis=1)
                 for k, b, n in zip(some, best.tolist(), near[np.arange(len(some)), best].tolist()):
