@@ -279,7 +279,8 @@ def cut_texts(docs: DataFrame, span: int = 400, key: str = "doc_id", text: str =
     """``(t1, t2, kept, n_removed, n_spans)`` of every text that loses bytes; ``kept`` is binary."""
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), *text_key(F.col(text)))
     found = cut(_grams(docs, span, text), "grams")
-    often = found.groupBy("g").count().filter("count > 1").select("g")
+    # written, so that joins with it see two plain exchanges and Spark can split a common gram
+    often = cut(found.groupBy("g").count().filter("count > 1").select("g"), "common-grams")
     listed = found.join(often, "g", "left_semi").groupBy("t1", "t2").agg(F.collect_set("g").alias("gs"))
     # of equal texts the row with the least key stands for all
     per_key = named.groupBy("t1", "t2", "key").agg(F.count(F.lit(1)).alias("rows"))
@@ -301,7 +302,8 @@ def cut_texts(docs: DataFrame, span: int = 400, key: str = "doc_id", text: str =
     )
     kinds = cut(kinds.select(*context, "n", "at.*"), "contexts")
     grams = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(F.col("n") == 1, 1)).alias("single"))
-    wanted = kinds.join(grams.filter("m > 1 AND single > 0").select("g", "m"), "g")
+    grams = cut(grams.filter("m > 1 AND single > 0").select("g", "m"), "compared-grams")
+    wanted = kinds.join(grams, "g")
     few = _sorted_compare(_contexts(wanted.filter(F.col("m") <= MOST), texts, span), span)
     many = _counted_compare(_contexts(wanted.filter(F.col("m") > MOST), texts, span), span)
     whole = kinds.filter("n > 1").select("g", "c1", "c2", F.lit(0).alias("lo"), F.lit(None).cast("int").alias("hi"))
