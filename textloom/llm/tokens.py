@@ -33,7 +33,7 @@ _LOADED: dict[str, Encoder] = {}
 class Encoder:
     """Encodes Arrow string arrays; words met before are remembered, at most ``remember`` of them."""
 
-    def __init__(self, path: str, remember: int = 400_000) -> None:
+    def __init__(self, path: str, remember: int = 150_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
