@@ -79,6 +79,37 @@ def test_toxic_words_are_learned_and_held_out_rows_found(spark):
     assert got.filter((F.col("score") >= 0.5) != (F.col("toxic") == 1)).count() == 0 and got.count() > 60
 
 
+def likened(spark, n=600):
+    """The rows of ``labelled`` with fillers that hardly differ but for numbers."""
+    rows, labels = [], []
+    for i in range(n):
+        toxic = i % 3 == 0
+        filler = f"word{i % 17} and other things {i}"
+        rows.append((i, f"{filler}. You are a {'blork' if i % 2 else 'zurgish'} {filler}. blork!" if toxic else f"{filler}. You are kind. {filler}"))
+        labels.append((i, int(toxic)))
+    return spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+
+
+def test_short_texts_of_common_words_are_learned_from_each(spark):
+    docs, labels = likened(spark)
+    model = toxicity.fit(docs, labels, learn())
+    assert {"blork", "zurgish"} <= set(model.words) and "kind" not in model.words
+
+
+def test_near_copies_count_once_when_words_are_weighed(spark):
+    rnd = random.Random(3)
+    drawn = lambda k: ["".join(rnd.choices("abcdefghijklmnop", k=9)) for _ in range(k)]
+    body, rows = drawn(200), []
+    for i in range(400):
+        if i % 4 == 0:  # copies of one text but for a word at the end
+            rows.append((i, " ".join(["copied", *body, *drawn(1)]), 1))
+        else:
+            rows.append((i, " ".join([*drawn(30), *(["blork"] if i % 4 == 1 else [])]), int(i % 4 == 1)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"), learn())
+    assert "blork" in model.words and "copied" not in model.words
+
+
 def test_grammar_reads_clauses():
     model = toxicity.Model({"blork": 4.0}, {"zurg": 3.0}, 2.0, -3.0)
     plain = model.total("this blork stands here")

@@ -213,8 +213,12 @@ def hex_digits(f: Column) -> Column:
 
 def dedup(docs: DataFrame, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class: the one with the smallest key, rows without one last."""
+    return first_of_each(docs, cut(_classed(docs, words, radius, key, text), "classes"), key, text)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` with one row of each class, from ``(key, t1, t2, root)``; ``root`` is null for rows alone in theirs."""
     k, t1, t2, rows, nth = (free_name(docs, n) for n in ("_k", "_t1", "_t2", "_rows", "_nth"))
-    found = cut(_classed(docs, words, radius, key, text), "classes")
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t1", "t2")).alias("first")
     alone = found.filter("root IS NULL").select("key", "t1", "t2")
     chosen = found.filter("root IS NOT NULL").groupBy("root").agg(first).select("first.key", "first.t1", "first.t2")

@@ -11,8 +11,8 @@ Insult weights are log-odds of words and word beginnings in toxic against other
 texts; the curve is fitted on labelled texts kept from the weights. Both come from at most about
 ``rows`` labelled rows, and at most ``entries`` words are kept, which bounds the model, not what
 is scored: every text is scored whole. Null and empty texts have total 0. Rows without label
-are scored only; equal texts count once when learning, and so do near copies that share the
-least hash of their words. With no labels at all every text scores 0.
+are scored only; equal texts count once when learning, and so do near copies, texts linked by a
+Jaccard similarity of 0.8 or more of their five-word shingles. With no labels at all every text scores 0.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from math import exp, log
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm import nearcopies
 from textloom.llm.common import free_name, slices, text_key
 from textloom.runtime import cut
 
@@ -43,6 +43,8 @@ _SCOPES = {TARGETS: TARGET, NEGATES: NEGATION, REPORTS: REPORTED, INTENDS: INTEN
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 _QUOTES = re.compile(r"[\"“”«»„]")
 HARM_WEIGHT = 2.0
+#: The likelihood ratio that one word in a thousand reaches by chance; thousands are tried.
+CHANCE = 10.83
 
 
 @dataclass(frozen=True)
@@ -141,7 +143,14 @@ def _weights(table: DataFrame, toxic: int, clean: int, name: str, least: int, en
     weight = F.log((F.col("t") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / F.lit(clean + 1.0))
     best = table.filter(F.col("t") >= least).withColumn("w", weight).filter(F.col("w") >= 3.0)
     best = best.orderBy(F.desc(F.col("w") * F.sqrt("t")), name).limit(entries)
-    return {r[name]: float(r["w"]) for r in best.select(name, "w").collect()}
+    return {r[name]: _backed(float(r["w"]), int(r["t"]), int(r["n"]), toxic, clean) for r in best.select(name, "w", "t", "n").collect()}
+
+
+def _backed(weight: float, t: int, n: int, toxic: int, clean: int) -> float:
+    """``weight`` drawn toward 0 by as much as chance may have made it: by the likelihood ratio of its counts."""
+    share, base = t / n, toxic / (toxic + clean)
+    ratio = 2 * (t * log(share / base) + ((n - t) * log((1 - share) / (1 - base)) if n > t and clean else 0.0))
+    return weight * ratio / (ratio + CHANCE) if ratio > 0 else weight
 
 
 def _curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -181,20 +190,21 @@ def fit(
     sample = sample.groupBy("t1", "t2").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     sample = cut(sample.withColumn("fold", F.pmod("t2", F.lit(5)).cast("int")), "toxicity-sample")
     weighing = sample.filter("fold <> 0")
+    near = nearcopies.classed(weighing.select("t1", "text"), key="t1").select("t1", "t2", F.coalesce("root", "f").alias("family"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             found = [[w for w in set(_TOKEN.findall(t.as_py().lower())) if w[0].isalpha()] for t in batch.column("text")]
-            # near copies mostly share their least hash, and count as one text
-            family = [min((xxhash.xxh64_intdigest(w) for w in f), default=0) >> 1 for f in found]
             times = [len(f) for f in found]
-            mark = np.repeat(batch.column("toxic").to_numpy(), times)
+            mark, family = (np.repeat(batch.column(c).to_numpy(), times) for c in ("toxic", "family"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w for f in found for w in f], pa.string()), pa.array(mark, pa.int64()), pa.array(np.repeat(np.array(family, np.int64), times))],
+                [pa.array([w for f in found for w in f], pa.string()), pa.array(mark, pa.int64()), pa.array(family, pa.int64())],
                 ["word", "t", "family"],
             )
 
-    spelled = weighing.select("text", "toxic").mapInArrow(spell, "word string, t bigint, family bigint")
+    # near copies count as one text
+    weighing = weighing.join(near, ["t1", "t2"]).select("text", "toxic", "family")
+    spelled = weighing.mapInArrow(spell, "word string, t bigint, family bigint")
     spelled = cut(spelled.distinct(), "toxicity-spelled")
     sizes = spelled.select("family", "t").distinct().agg(F.count(F.lit(1)), F.sum("t")).first()
     toxic, clean = int(sizes[1] or 0), int(sizes[0] - (sizes[1] or 0))
