@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import dac, fingerprints, langid, linededup, mixing, packing, simhash, suffixdedup, topk, toxicity
+from textloom.llm import dac, fingerprints, langid, linededup, mixing, packing, simhash, suffixdedup, tokencounts, topk, toxicity
 from textloom.llm.common import held_out, table, text_key
 from textloom.runtime import scratch_path
 
@@ -24,6 +24,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def query(sql: str | None = None):
     def register(function):
         QUERIES[function.__name__] = function
@@ -152,3 +158,9 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
     )
+
+
+@query()
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    found = tokencounts.token_counts(table(spark, folder, "documents").select("doc_id", "text"), piece_file())
+    return found.withColumn("over_limit", F.col("n_tokens") > ROOM)
