@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import dac, fingerprints, langid, linededup, mixing, packing, simhash, suffixdedup, tokencounts, topk, toxicity
-from textloom.llm.common import held_out, table, text_key
+from textloom.llm import dac, fingerprints, langid, linededup, mixing, packing, simhash, spelling, suffixdedup, tokencounts, topk, toxicity
+from textloom.llm.common import ascii_lower, held_out, table, text_key
 from textloom.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,24 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     found = tokencounts.token_counts(table(spark, folder, "documents").select("doc_id", "text"), piece_file())
     return found.withColumn("over_limit", F.col("n_tokens") > ROOM)
+
+
+#: Rules of the contract of query 11.
+LETTER_RUN, DAMAGE_EVERY = "[A-Za-z\\u00C0-\\u00FF]+", 199
+
+
+def _spelt_words(docs: DataFrame) -> DataFrame:
+    """``word, n``: letter runs of at least six code points, some of them damaged, that occur five times."""
+    runs = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(LETTER_RUN), F.lit(0))
+    rows = docs.select("doc_id", F.explode(runs).alias("run")).filter(F.char_length("run") >= 6)
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    at = (F.col("h") % F.char_length("run")).cast("int")
+    less = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
+    words = rows.withColumn("h", h).select(F.when(F.col("h") % DAMAGE_EVERY == 0, less).otherwise(F.col("run")).alias("word"))
+    counts = words.filter(F.char_length("word") >= 6).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter("n >= 5")
+
+
+@query()
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_spelt_words(table(spark, folder, "documents").select("doc_id", "text")), ratio=5)
