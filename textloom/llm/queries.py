@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import dac, fingerprints, langid, linededup, mixing, packing, simhash, spelling, suffixdedup, tokencounts, topk, toxicity
+from textloom.llm import dac, fingerprints, langid, linededup, mixing, packing, phrases, simhash, spelling, suffixdedup, tokencounts, topk, toxicity
 from textloom.llm.common import ascii_lower, held_out, table, text_key
 from textloom.runtime import scratch_path
 
@@ -185,3 +185,9 @@ def _spelt_words(docs: DataFrame) -> DataFrame:
 @query()
 def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(_spelt_words(table(spark, folder, "documents").select("doc_id", "text")), ratio=5)
+
+
+@query()
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    found = phrases.collocations(table(spark, folder, "documents").select("lang", "text"))
+    return found.withColumnRenamed("grp", "lang")
