@@ -1,4 +1,4 @@
-"""The ten operators as queries over the test tables, with the SQL that checks them where SQL can say it."""
+"""The operators as queries over the test tables, with the SQL that checks them where SQL can say it."""
 
 from __future__ import annotations
 
@@ -166,6 +166,8 @@ def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > ROOM)
 
 
+LOWER_SQL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
 #: Rules of the contract of query 11.
 LETTER_RUN, DAMAGE_EVERY = "[A-Za-z\\u00C0-\\u00FF]+", 199
 
@@ -182,12 +184,74 @@ def _spelt_words(docs: DataFrame) -> DataFrame:
     return counts.filter("n >= 5")
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE table_of_8 AS (
+        SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, bit: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+        FROM (SELECT unnest(range(256)) AS i)),
+      runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, {LOWER_SQL}), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+      long AS (SELECT DISTINCT doc_id, run FROM runs WHERE length(run) >= 6),
+      spelt AS (SELECT doc_id, run, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM long),
+      summed AS (
+        SELECT doc_id, run, xor(4294967295, list_reduce(
+            list_prepend(4294967295::BIGINT, [CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) FOR i IN range(length(h) // 2)]),
+            lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1]))) AS h
+        FROM spelt, table_of_8),
+      words AS (
+        SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+        FROM runs JOIN summed USING (doc_id, run)),
+      counted AS (SELECT word, count(*) AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+      less AS (SELECT DISTINCT word, i, left(word, i) || substr(word, i + 2) AS part FROM (SELECT word, unnest(range(length(word))) AS i FROM counted)),
+      near AS (
+        SELECT a.word, b.word AS near FROM less a JOIN less b ON a.i = b.i AND a.part = b.part AND length(a.word) = length(b.word) AND a.word <> b.word
+        UNION SELECT l.word, c.word FROM less l JOIN counted c ON l.part = c.word
+        UNION SELECT c.word, l.word FROM less l JOIN counted c ON l.part = c.word),
+      best AS (
+        SELECT p.word, count(*) AS n_near, max(n) AS most, min(near) FILTER (n = top) AS form
+        FROM (SELECT p.word, near, n, max(n) OVER (PARTITION BY p.word) AS top FROM near p JOIN counted c ON p.near = c.word) p GROUP BY p.word),
+      formed AS (
+        SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * n THEN form END AS form, CASE WHEN most >= 5 * n THEN most END AS form_n
+        FROM counted LEFT JOIN best USING (word)),
+      chain AS (
+        SELECT word, word AS root, form AS next FROM formed
+        UNION ALL SELECT c.word, c.next, f.form FROM chain c JOIN formed f ON f.word = c.next)
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM chain WHERE next IS NULL) USING (word)
+    """
+)
 def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(_spelt_words(table(spark, folder, "documents").select("doc_id", "text")), ratio=5)
 
 
-@query()
+@query(
+    f"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {LOWER_SQL}), '[.,;:!?\\n-\\r]')) AS piece FROM documents),
+      listed AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM pieces),
+      placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed),
+      f1 AS (SELECT lang, w[i] AS phrase, count(*) AS f FROM placed GROUP BY ALL),
+      f2 AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, count(*) AS f FROM placed WHERE i < len(w) GROUP BY ALL HAVING f >= 10),
+      f3 AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS f FROM placed WHERE i + 1 < len(w) GROUP BY ALL HAVING f >= 10),
+      total AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
+      held AS (SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+      cuts AS (
+        SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, p.f AS a, x.f AS l, y.f AS r, 1 AS k
+        FROM f2 p JOIN f1 x ON x.lang = p.lang AND x.phrase = p.w1 JOIN f1 y ON y.lang = p.lang AND y.phrase = p.w2
+          LEFT JOIN held h ON h.lang = p.lang AND h.w1 = p.w1 AND h.w2 = p.w2
+        WHERE h.f IS NULL OR 100 * h.f < 50 * p.f
+        UNION ALL
+        SELECT p.lang, p.w1 || ' ' || p.w2 || ' ' || p.w3, p.f, x.f, y.f, 1
+        FROM f3 p JOIN f1 x ON x.lang = p.lang AND x.phrase = p.w1 JOIN f2 y ON y.lang = p.lang AND y.w1 = p.w2 AND y.w2 = p.w3
+        UNION ALL
+        SELECT p.lang, p.w1 || ' ' || p.w2 || ' ' || p.w3, p.f, x.f, y.f, 2
+        FROM f3 p JOIN f2 x ON x.lang = p.lang AND x.w1 = p.w1 AND x.w2 = p.w2 JOIN f1 y ON y.lang = p.lang AND y.phrase = p.w3),
+      scored AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+      lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+    SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest) JOIN total USING (lang)
+    WHERE rank <= 2000
+    """
+)
 def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
     found = phrases.collocations(table(spark, folder, "documents").select("lang", "text"))
     return found.withColumnRenamed("grp", "lang")
