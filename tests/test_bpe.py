@@ -135,12 +135,12 @@ def brute_train(words, alphabet, specials, size, min_frequency):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_batched_merges_equal_one_at_a_time(spark, seed):
+def test_rounds_of_merges_equal_one_at_a_time(spark, seed):
     """Few letters and small counts: many ties, touching pairs and equal merged strings."""
     rng = random.Random(seed)
     words = {"".join(rng.choices("abc", k=rng.randint(1, 9))): rng.randint(1, 4) for _ in range(120)}
     counts = spark.createDataFrame(list(words.items()), "word string, n bigint")
-    ours = bpe.train(counts, vocab_size=90, scheme="word", candidates=rng.choice([3, 8, 256]), cut_every=8)
+    ours = bpe.train(counts, vocab_size=90, scheme="word", candidates=(256, 8, 20)[seed], pieces=(20, 500, 500)[seed])
     vocab, merges = brute_train(words, set("".join(words)), bpe.SPECIALS, 90, 2)
     assert list(ours.merges) == merges and list(ours.vocab) == vocab
 

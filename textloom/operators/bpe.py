@@ -1,8 +1,7 @@
 """Byte-pair encoding: training over distributed word counts, encoding, decoding, quality.
 
-While training, a word is a string in which one character stands for one symbol, so a
-merge is ``replace(word, left + right, merged)``: it works from left to right without
-overlaps, as the algorithm asks, inside generated code.
+While training, a word is a string in which one character stands for one symbol; see
+:mod:`textloom.operators.merging` for the merges.
 """
 
 from __future__ import annotations
@@ -10,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.functions.numbers import compression_band
+from textloom.operators import merging
 from textloom.operators.pretokens import sign_pairs, symbols, word_counts
-from textloom.runtime import remove_path, scratch_path, shuffle_width
+from textloom.runtime import cut, remove_path, scratch_path, shuffle_width
 
 # Special tokens in id order.
 SPECIALS = ("[UNK]", "[PAD]", "[BOS]", "[EOS]")
@@ -54,40 +55,37 @@ def _symbol_id(char: str) -> int:
     return (point if point < 0xD800 else point - 0x800) - 0x100
 
 
-def _safe_batch(
-    ranked: Sequence[tuple[str, int]], complete: bool, room: int, min_frequency: int, known: dict[str, int],
-    vocab: Sequence[str],
-) -> list[tuple[int, int]]:
-    """The leading pairs that one-at-a-time training would pick in this very order.
-
-    After merging (a, b) only pairs ending in ``a`` or starting with ``b`` lose counts, and
-    a new pair is never more frequent than the one of those it came from. So the next
-    ranked pair is still the best unless it touches an earlier one of the batch, or ties
-    with a pair that does.
-    """
-    chosen: list[tuple[int, int]] = []
-    ends, starts = set(), set()
-
-    def touches(pair: tuple[int, int]) -> bool:
-        return pair[1] in ends or pair[0] in starts
-
-    pairs = [((_symbol_id(p[0]), _symbol_id(p[1])), n) for p, n in ranked]
-    for at, (pair, n) in enumerate(pairs):
-        if n < min_frequency or len(chosen) >= room:
-            break
-        if chosen:
-            tied = [q for q, m in pairs[at:] if m == n]
-            tie_is_cut = not complete and pairs[-1][1] == n
-            if tie_is_cut or any(touches(q) for q in tied):
-                break
-        chosen.append(pair)
-        ends.add(pair[0])
-        starts.add(pair[1])
-        merged = vocab[pair[0]] + vocab[pair[1]]
-        if pair[0] == pair[1] or merged in known:
+def _round(
+    words: DataFrame, vocabulary: merging.Vocabulary, min_frequency: int, candidates: int, pieces: int, symbols_held: int
+) -> tuple[np.ndarray, dict[str, str]] | None:
+    """One round of merges: the pairs looked at and what becomes of each piece; None when no pair is left."""
+    ranked = [
+        (r.pair, r.n)
+        for r in merging.pair_counts(words)
+        .filter(F.col("n") >= min_frequency)
+        .orderBy(F.desc("n"), "pair")
+        .limit(candidates + 1)
+        .collect()
+    ]
+    if not ranked:
+        return None
+    looked_at = min(candidates, len(ranked))
+    while True:
+        # pairs as frequent as the first one left out are left out, too
+        floor = ranked[looked_at][1] + 1 if looked_at < len(ranked) else min_frequency
+        frequent = [pair for pair, n in ranked[:looked_at] if n >= floor]
+        # of nothing but ties the first is merged alone: it is the best of all
+        most = None if frequent else 1
+        keys = np.array(sorted(frequent or [ranked[0][0]]), np.int64)
+        found = cut(merging.piece_counts(words, keys), "bpe-pieces")
+        size = found.agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.length("piece")).alias("symbols")).first()
+        # the stretches of a single pair are that pair, or runs of one symbol
+        if most or (size.pieces <= pieces and size.symbols <= symbols_held):
+            rows = [(r.piece, r.n) for r in found.collect()]
             break
-        known = {**known, merged: -1}
-    return chosen
+        looked_at //= 4
+    left = merging.merge_pieces([([_symbol_id(c) for c in p], n) for p, n in rows], vocabulary, floor if not most else ranked[0][1], most)
+    return keys, {p: "".join(map(_stand_in, parts)) for (p, _), parts in zip(rows, left)}
 
 
 def train(
@@ -97,15 +95,16 @@ def train(
     scheme: str = "byte",
     byte_alphabet: bool = False,
     specials: Sequence[str] = SPECIALS,
-    candidates: int = 256,
-    cut_every: int = 8,
+    candidates: int = 50_000,
+    pieces: int = 200_000,
+    symbols_held: int = 4_000_000,
 ) -> Tokenizer:
     """Learn merges from ``(word, n)``, the same ones as one-at-a-time training.
 
-    Each round counts all pairs in Spark and brings back the ``candidates`` best; every
-    leading pair that is provably next (see :func:`_safe_batch`) is merged at once. After
-    ``cut_every`` merges the table is rewritten in the shared folder, without the words
-    that have become one symbol, and the old one is removed.
+    Merges are made in rounds, see :mod:`textloom.operators.merging`. A round looks at up to
+    ``candidates`` pairs, fewer if their words fall into more than ``pieces`` distinct pieces or
+    ``symbols_held`` symbols, which bounds the driver's part; more words then mean more rounds. Each round writes
+    the words it changed to the shared folder and removes the older table.
     """
     spark = counts.sparkSession
     signed = symbols(counts, scheme)
@@ -119,50 +118,22 @@ def train(
     alphabet = {r.c for r in seen.collect()}
     if byte_alphabet:
         alphabet |= {chr(b) for b in range(256)} - set(tx.HIDDEN_BYTES) | set(tx.HIDDEN_SIGNS)
-    vocab = [*specials, *sorted(alphabet)]
-    known = {token: i for i, token in enumerate(vocab)}
-    merges: list[tuple[str, str]] = []
-
-    spelled = "".join(vocab[len(specials):])
-    codes = "".join(_stand_in(i) for i in range(len(specials), len(vocab)))
-    words = base.select(F.translate("signs", spelled, codes).alias("s"), "n")
-    since_cut = cut_every
-
-    while len(vocab) < vocab_size:
-        if since_cut >= cut_every:
-            fresh = scratch_path(spark, "bpe-words")
-            words.filter(F.length("s") > 1).repartition(width, "s").write.parquet(fresh)
-            remove_path(spark, path)
-            path, since_cut = fresh, 0
-            words = spark.read.schema("s string, n bigint").parquet(path)
-        ranked = [
-            (r.pair, r.n)
-            for r in sign_pairs(words, "s")
-            .groupBy("pair")
-            .agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= min_frequency)
-            .orderBy(F.desc("n"), "pair")
-            .limit(candidates)
-            .collect()
-        ]
-        batch = _safe_batch(
-            ranked, len(ranked) < candidates, vocab_size - len(vocab), min_frequency, known, vocab
-        )
-        if not batch:
+    vocabulary = merging.Vocabulary([*specials, *sorted(alphabet)], vocab_size)
+
+    spelled = "".join(vocabulary.tokens[len(specials):])
+    codes = "".join(_stand_in(i) for i in range(len(specials), len(vocabulary.tokens)))
+    words = base.select(F.translate("signs", spelled, codes).alias("s"), "n").filter(F.length("s") > 1)
+    while not vocabulary.full:
+        done = _round(words, vocabulary, min_frequency, candidates, pieces, symbols_held)
+        if done is None or vocabulary.full:
             break
-        s = F.col("s")
-        for left, right in batch:
-            token = vocab[left] + vocab[right]
-            merges.append((vocab[left], vocab[right]))
-            if token not in known:
-                known[token] = len(vocab)
-                vocab.append(token)
-            s = F.replace(s, F.lit(_stand_in(left) + _stand_in(right)), F.lit(_stand_in(known[token])))
-        words = words.select(s.alias("s"), "n")
-        since_cut += len(batch)
+        fresh = scratch_path(spark, "bpe-words")
+        merging.exchanged(words, *done).write.parquet(fresh)
+        remove_path(spark, path)
+        path, words = fresh, spark.read.schema("s string, n bigint").parquet(fresh)
 
     remove_path(spark, path)
-    return Tokenizer(tuple(vocab), tuple(merges), scheme, tuple(specials))
+    return Tokenizer(tuple(vocabulary.tokens), tuple(vocabulary.merges), scheme, tuple(specials))
 
 
 def train_on_texts(docs: DataFrame, scheme: str = "byte", normalise: bool = True, **options) -> Tokenizer:
