@@ -73,55 +73,75 @@ def tile_counts(left: np.ndarray, right: np.ndarray, side: int = SIDE, dense: in
     return keys[order], counts[order]
 
 
+def _block(block: int, grp: str | None, texts: pa.Array) -> pa.RecordBatch:
+    """Texts of one group as numbers of its words, -1 where a piece ends; frequent words have small numbers."""
+    texts = pc.replace_substring_regex(pc.ascii_lower(texts.cast(pa.large_string())), ENDS, f" {END} ")
+    # two blanks in a row, and one at either end, leave an empty word
+    coded = pc.split_pattern(pc.replace_substring(texts, "\t", " "), " ").flatten().dictionary_encode()
+    codes, words = np.asarray(coded.indices), coded.dictionary
+    codes = codes[codes != pc.index(words, pa.scalar("", words.type)).as_py()]
+    is_end = np.asarray(pc.is_in(words, pa.array([END, ""], words.type)).to_numpy(zero_copy_only=False), bool)
+    counts = np.bincount(codes, minlength=len(words))
+    counts[is_end] = 0
+    order = np.argsort(-counts, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    place[is_end] = -1
+    order = order[: len(order) - int(is_end.sum())]
+    return pa.RecordBatch.from_pydict(
+        {
+            "block": pa.array([block], pa.int64()),
+            "grp": pa.array([grp], pa.string()),
+            "words": pa.array([words.take(pa.array(order)).cast(pa.string())], pa.list_(pa.string())),
+            "counts": pa.array([counts[order]], pa.list_(pa.int64())),
+            "codes": pa.array([packed(place[codes])], pa.binary()),
+        }
+    )
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``block, grp, words, counts, codes``: texts of one group as numbers of its words, -1 where a piece ends."""
+    """Texts gathered by group until a group, or all groups together, are large enough."""
     block = TaskContext.get().partitionId() << 40
-    for part in slices(batches, "text", BLOCK_BYTES):
+    waiting: dict[str, list[pa.Array]] = {}
+    size: dict[str, int] = {}
+    for part in slices(batches, "text", BLOCK_BYTES // 2):
         names = pa.array(part.column("grp"))
         for name in names.unique():
             texts = part.column("text").filter(pc.equal(names, name))
-            texts = pc.replace_substring_regex(pc.ascii_lower(texts.cast(pa.large_string())), ENDS, f" {END} ")
-            # two blanks in a row, and one at either end, leave an empty word
-            coded = pc.split_pattern(pc.replace_substring(texts, "\t", " "), " ").flatten().dictionary_encode()
-            codes, words = np.asarray(coded.indices), coded.dictionary
-            codes = codes[codes != pc.index(words, pa.scalar("", words.type)).as_py()]
-            is_end = np.asarray(pc.is_in(words, pa.array([END, ""], words.type)).to_numpy(zero_copy_only=False), bool)
-            counts = np.bincount(codes, minlength=len(words))
-            counts[is_end] = 0
-            order = np.argsort(-counts, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            place[is_end] = -1
-            order = order[: len(order) - int(is_end.sum())]
+            waiting.setdefault(name.as_py(), []).append(texts)
+            size[name.as_py()] = size.get(name.as_py(), 0) + texts.nbytes
+        full = [g for g, n in size.items() if n >= BLOCK_BYTES]
+        if sum(size.values()) >= 4 * BLOCK_BYTES:
+            full = list(size)
+        for grp in full:
             block += 1
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array([block], pa.int64()),
-                    "grp": pa.array([name.as_py()], pa.string()),
-                    "words": pa.array([words.take(pa.array(order)).cast(pa.string())], pa.list_(pa.string())),
-                    "counts": pa.array([counts[order]], pa.list_(pa.int64())),
-                    "codes": pa.array([packed(place[codes])], pa.binary()),
-                }
-            )
+            del size[grp]
+            yield _block(block, grp, pa.concat_arrays(waiting.pop(grp)))
+    for grp, texts in waiting.items():
+        block += 1
+        yield _block(block, grp, pa.concat_arrays(texts))
 
 
-_STREAM = "block long, grp string, stream binary, lefts array<int>, rights array<int>, counts array<long>"
+_STREAM, _PAIRS = "block long, grp string, stream binary", "block long, grp string, left int, right int, n long"
 
 
-def _paired(block: int, grp: str, stream: np.ndarray) -> pa.RecordBatch:
-    """A block's stream of ids (-1: none) and the counts of its neighbours."""
-    both = (stream[:-1] >= 0) & (stream[1:] >= 0)
-    keys, counts = tile_counts(stream[:-1][both], stream[1:][both])
-    return pa.RecordBatch.from_pydict(
-        {
-            "block": pa.array([block], pa.int64()),
-            "grp": pa.array([grp], pa.string()),
-            "stream": pa.array([packed(stream)], pa.binary()),
-            "lefts": pa.array([keys >> 32], pa.list_(pa.int32())),
-            "rights": pa.array([keys & 0xFFFFFFFF], pa.list_(pa.int32())),
-            "counts": pa.array([counts], pa.list_(pa.int64())),
-        }
-    )
+def _stream(block: pa.Scalar, grp: pa.Scalar, stream: np.ndarray) -> pa.RecordBatch:
+    """A block as ids, -1 for what has none."""
+    return pa.RecordBatch.from_pydict({"block": pa.array([block]), "grp": pa.array([grp]), "stream": pa.array([packed(stream)], pa.binary())})
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``block, grp, left, right, n``: distinct neighbours of each block's stream."""
+    for batch in batches:
+        for block, grp, stream in zip(*(batch.column(c).to_pylist() for c in ("block", "grp", "stream"))):
+            stream = unpacked(stream)
+            both = (stream[:-1] >= 0) & (stream[1:] >= 0)
+            keys, counts = tile_counts(stream[:-1][both], stream[1:][both])
+            for at in range(0, len(keys), 1 << 16):
+                part, n = keys[at : at + (1 << 16)], counts[at : at + (1 << 16)]
+                columns = [pa.array(np.full(len(part), block)), pa.array([grp]).take(pa.array(np.zeros(len(part), np.int8)))]
+                columns += [pa.array((part >> 32).astype(np.int32)), pa.array((part & 0xFFFFFFFF).astype(np.int32)), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "grp", "left", "right", "n"])
 
 
 def _recode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +152,7 @@ def _recode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             known = np.full(max(int(codes.max(initial=-1)), int(at.max(initial=-1))) + 2, -1, np.int64)
             known[at] = ids
             # -1 stands for the end of a piece and takes the last place, which no word has
-            yield _paired(block.as_py(), grp.as_py(), known[codes])
+            yield _stream(block, grp, known[codes])
 
 
 def _recode_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +165,7 @@ def _recode_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             # a place without an id makes a negative number, which is no key
             pairs = np.where((stream[:-1] >= 0) & (stream[1:] >= 0), stream[:-1] << 32 | stream[1:], -1)
             at = np.searchsorted(keys, pairs)
-            yield _paired(block.as_py(), grp.as_py(), np.where(keys[at] == pairs, ids[at], -1))
+            yield _stream(block, grp, np.where(keys[at] == pairs, ids[at], -1))
 
 
 def _with_ids(blocks: DataFrame, found: DataFrame) -> DataFrame:
@@ -189,9 +209,7 @@ def phrase_levels(docs: DataFrame, group: Column, least: int, longest: int) -> t
     coded = _with_ids(blocks.select("block", "grp", "codes"), found)
     for size in range(2, longest + 1):
         streams = cut(coded.mapInArrow(_recode_words if size == 2 else _recode_pairs, _STREAM), "phrase-streams")
-        pairs = streams.select("block", "grp", F.explode(F.arrays_zip("lefts", "rights", "counts")).alias("p")).select(
-            "block", "grp", F.col("p.lefts").alias("left"), F.col("p.rights").alias("right"), F.col("p.counts").alias("n")
-        )
+        pairs = cut(streams.mapInArrow(_neighbours, _PAIRS), "phrase-pairs")
         counts = pairs.groupBy("grp", "left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
         ranked = _ranked(counts, ["left", "right"])
         shorter = levels[-1]
