@@ -6,11 +6,12 @@ While training, a word is a string in which one character stands for one symbol;
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,7 +162,7 @@ def _merge_word(signs: str, rank: dict[tuple[str, str], int]) -> list[str]:
 
 
 def _encoder(tokenizer: Tokenizer, remember: int = 1 << 18):
-    """Ids of a list of sign words; each worker remembers recent words."""
+    """Ids of a sign word; each worker remembers recent words."""
     rank: dict[tuple[str, str], int] = {}
     for i, pair in enumerate(tokenizer.merges):
         rank.setdefault(pair, i)
@@ -170,55 +171,85 @@ def _encoder(tokenizer: Tokenizer, remember: int = 1 << 18):
     unknown = ids[UNKNOWN]
     memory: dict[str, list[int]] = {}
 
-    def encode_all(words) -> list[int]:
-        out: list[int] = []
-        for word in words:
-            found = memory.get(word)
-            if found is None:
-                found = [
-                    ids.get(p, unknown) if p not in special else unknown for p in _merge_word(word, rank)
-                ]
-                if len(memory) >= remember:
-                    memory.clear()
-                memory[word] = found
-            out.extend(found)
-        return out
+    def encode(word: str | None) -> list[int] | None:
+        if word is None:
+            return None
+        found = memory.get(word)
+        if found is None:
+            found = [ids.get(p, unknown) if p not in special else unknown for p in _merge_word(word, rank)]
+            if len(memory) >= remember:
+                memory.clear()
+            memory[word] = found
+        return found
 
-    return encode_all
+    return encode
 
 
 def _ids_udf(tokenizer: Tokenizer):
+    """Lists of sign words to lists of their ids; a word is looked up once a batch, a null stays null."""
     shared = SparkSession.active().sparkContext.broadcast(tokenizer)
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode_all = _encoder(shared.value)
-        for words in batches:
-            yield words.map(encode_all)
+    @F.arrow_udf("array<array<int>>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode = _encoder(shared.value)
+        for rows in batches:
+            words = rows.values.dictionary_encode()
+            lists = pa.array([encode(w) for w in words.dictionary.to_pylist()], pa.list_(pa.int32()))
+            offsets = pa.array(np.asarray(rows.offsets))
+            yield pa.ListArray.from_arrays(offsets, lists.take(words.indices), mask=rows.is_null())
 
     return ids
 
 
+FREQUENT, BUCKETS = 8192, 4096
+
+
+def frequent_codes(counts: DataFrame, tokenizer: Tokenizer, size: int = FREQUENT) -> Column:
+    """Ids of the ``size`` most frequent words of ``(word, n)`` as a constant: maps in an array, addressed by hash.
+
+    Each word is encoded once. The constant holds ``size`` words at most, and a map about two.
+    """
+    top = counts.orderBy(F.desc("n"), "word").limit(size)
+    rows = encode_words(top, tokenizer).select(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket"), "word", "ids").collect()
+    maps: list[dict[str, list[int]]] = [{} for _ in range(BUCKETS)]
+    for r in rows:
+        maps[r.bucket][r.word] = r.ids
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string, array<int>>>")
+
+
 def encode(
-    docs: DataFrame, tokenizer: Tokenizer, normalise: bool = True, text: str = "text", out: str = "ids"
+    docs: DataFrame,
+    tokenizer: Tokenizer,
+    normalise: bool = True,
+    text: str = "text",
+    out: str = "ids",
+    codes: Column | None = None,
 ) -> DataFrame:
     """Add token ids to each document.
 
     Pre-tokens are cut in the JVM and encoded in the same task: no row per word and no
-    shuffle, whatever the size of the text.
+    shuffle, whatever the size of the text. Words of ``codes`` (see :func:`frequent_codes`) get
+    their ids in the JVM; only the others are handed to Python, once for each distinct one a worker remembers.
     """
     source = tx.nfkc(F.col(text)) if normalise else F.col(text)
-    words = tx.pretokens(source, tokenizer.scheme)
-    if tokenizer.scheme == "byte":
-        words = F.transform(words, tx.bytes_to_signs)
-    return docs.withColumn(out, _ids_udf(tokenizer)(words))
+    spelt = tx.bytes_to_signs if tokenizer.scheme == "byte" else lambda w: w
+    split = docs.withColumn("_words", tx.pretokens(source, tokenizer.scheme))
+    if codes is None:
+        return split.withColumn(out, F.flatten(_ids_udf(tokenizer)(F.transform("_words", spelt)))).drop("_words")
+    known = split.withColumn(
+        "_known", F.transform("_words", lambda w: F.get(codes, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))[w])
+    )
+    # nulls stand for the words that are known
+    rare = known.withColumn("_rare", F.zip_with("_words", "_known", lambda w, k: F.when(k.isNull(), spelt(w))))
+    coded = rare.withColumn("_coded", _ids_udf(tokenizer)("_rare"))
+    return coded.withColumn(out, F.flatten(F.zip_with("_known", "_coded", lambda k, c: F.coalesce(k, c)))).drop("_words", "_known", "_rare", "_coded")
 
 
 def encode_words(counts: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """Add ``ids`` to each distinct word of ``(word, n)``."""
     return (
         symbols(counts, tokenizer.scheme)
-        .withColumn("ids", _ids_udf(tokenizer)(F.array("signs")))
+        .withColumn("ids", F.flatten(_ids_udf(tokenizer)(F.array("signs"))))
         .drop("signs")
     )
 
@@ -244,12 +275,14 @@ def decoded(ids: Column, tokenizer: Tokenizer) -> Column:
     return F.array_join(tokens, " ")
 
 
-def quality(docs: DataFrame, tokenizer: Tokenizer, normalise: bool = True, text: str = "text") -> DataFrame:
+def quality(
+    docs: DataFrame, tokenizer: Tokenizer, normalise: bool = True, text: str = "text", codes: Column | None = None
+) -> DataFrame:
     """Per document: tokens, characters per token, single-letter tokens, round trip."""
     ids = F.col("ids")
     n = F.size(ids)
     return (
-        encode(docs, tokenizer, normalise, text)
+        encode(docs, tokenizer, normalise, text, codes=codes)
         .withColumn("chars", F.length(text).cast("bigint"))
         .withColumn("tokens", n.cast("bigint"))
         .withColumn("ratio", F.when(n > 0, F.col("chars") / n).otherwise(0.0))

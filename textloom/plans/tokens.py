@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
+from textloom.functions.numbers import COMPRESSION_GOOD, COMPRESSION_LOW
 from textloom.operators import bpe, corpus, pretokens, vocabulary, windows
 from textloom.plans import tables
 from textloom.plans.corpus import draw_sql
@@ -12,7 +13,7 @@ from textloom.plans.registry import query
 from textloom.runtime import scratch_path
 from textloom.sources import tokenizer_files
 
-VOCAB_SIZE = 300
+VOCAB_SIZE = 8000
 TOP_WORDS = 8000
 BLOCK = 128
 LONGEST = 1024
@@ -80,17 +81,29 @@ def pair_counts(spark, folder):
 _SAVED: dict[tuple[str, str, str], str] = {}
 
 
-def _tokenizer(spark, folder, scheme="byte"):
-    """Documents and the tokenizer of all of them; trained once per session and content, then loaded."""
-    docs = tables.documents(spark, folder)
-    content = docs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("doc_id", "text"))).first()
-    key = (spark.sparkContext.applicationId, str(tuple(content)), scheme)
-    if key not in _SAVED:
+def _trained(spark, docs, key, scheme="byte"):
+    """The tokenizer of all texts and a table of their words; both made once per session and content, then loaded."""
+    content = docs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(key, "text"))).first()
+    saved = (spark.sparkContext.applicationId, str(tuple(content)), scheme)
+    if saved not in _SAVED:
         path = scratch_path(spark, "tokenizer")
-        trained = bpe.train_on_texts(docs, scheme, vocab_size=VOCAB_SIZE)
+        pretokens.word_counts(docs, scheme).write.parquet(f"{path}/words")
+        trained = bpe.train(spark.read.parquet(f"{path}/words"), VOCAB_SIZE, scheme=scheme)
         tokenizer_files.save_tokenizer(spark, trained, path)
-        _SAVED[key] = path
-    return docs, tokenizer_files.load_tokenizer(spark, _SAVED[key], scheme)
+        _SAVED[saved] = path
+    path = _SAVED[saved]
+    return tokenizer_files.load_tokenizer(spark, path, scheme), spark.read.parquet(f"{path}/words")
+
+
+def _tokenizer(spark, folder, scheme="byte"):
+    docs = tables.documents(spark, folder)
+    return docs, _trained(spark, docs, "doc_id", scheme)[0]
+
+
+def _coded(spark, docs, key):
+    """The tokenizer and the codes of the most frequent words."""
+    tokenizer, words = _trained(spark, docs, key)
+    return tokenizer, bpe.frequent_codes(words, tokenizer)
 
 
 @query()
@@ -114,8 +127,9 @@ def bpe_merges_ws(spark, folder):
 
 @query()
 def bpe_encode(spark, folder):
-    docs, tokenizer = _tokenizer(spark, folder)
-    return bpe.encode(docs, tokenizer).select(
+    docs = tables.documents(spark, folder)
+    tokenizer, codes = _coded(spark, docs, "doc_id")
+    return bpe.encode(docs, tokenizer, codes=codes).select(
         "doc_id", "ids", bpe.tokens_of(F.col("ids"), tokenizer).alias("tokens")
     )
 
@@ -125,15 +139,17 @@ SELECT doc_id, TRUE AS same FROM documents
 """)
 def bpe_roundtrip(spark, folder):
     """Byte-level decoding gives back every text."""
-    docs, tokenizer = _tokenizer(spark, folder)
-    encoded = bpe.encode(docs, tokenizer)
+    docs = tables.documents(spark, folder)
+    tokenizer, codes = _coded(spark, docs, "doc_id")
+    encoded = bpe.encode(docs, tokenizer, codes=codes)
     return encoded.select("doc_id", (bpe.decoded(F.col("ids"), tokenizer) == F.col("text")).alias("same"))
 
 
 @query()
 def tokenizer_quality(spark, folder):
-    docs, tokenizer = _tokenizer(spark, folder)
-    report = bpe.quality(docs, tokenizer)
+    docs = tables.documents(spark, folder)
+    tokenizer, codes = _coded(spark, docs, "doc_id")
+    report = bpe.quality(docs, tokenizer, codes=codes)
     return bpe.quality_summary(report, ["lang"]).withColumn("ratio", F.round("ratio", 6))
 
 
@@ -144,6 +160,78 @@ def tokenizer_artifact(spark, folder):
     return tokenizer.vocab_table(spark)
 
 
+# One merge a step over the words of ``benchmark``: a symbol is the character 256 + its id, so that
+# characters are in the order of ids. No merge there makes a token that another one made before.
+_BENCHMARK_SQL = f"""
+  RECURSIVE split AS (SELECT item_id, text, {BYTE_WORDS_SQL} AS w FROM benchmark),
+  counted AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM split) GROUP BY word), {SIGNS_SQL},
+  alphabet AS (
+    SELECT sign, 3 + row_number() OVER (ORDER BY sign) AS id
+    FROM (SELECT DISTINCT substr(signs, i, 1) AS sign FROM (SELECT signs, unnest(range(1, length(signs) + 1)) AS i FROM signed))),
+  train AS (
+    SELECT 0 AS step, word, n, string_agg(chr(CAST(256 + id AS INTEGER)), '' ORDER BY i) AS s, NULL::VARCHAR AS pair
+    FROM (SELECT word, n, signs, unnest(range(1, length(signs) + 1)) AS i FROM signed) JOIN alphabet ON sign = substr(signs, i, 1)
+    GROUP BY word, n
+    UNION ALL
+    SELECT step + 1, word, n, replace(s, best.pair, chr(CAST(260 + (SELECT count(*) FROM alphabet) + step AS INTEGER))), best.pair
+    FROM train, (
+      SELECT substr(s, i, 2) AS pair FROM (SELECT s, n, unnest(range(1, length(s))) AS i FROM train)
+      GROUP BY 1 HAVING sum(n) >= 2 ORDER BY sum(n) DESC, 1 LIMIT 1) best
+    WHERE 4 + (SELECT count(*) FROM alphabet) + step < {VOCAB_SIZE}),
+  merges AS (SELECT DISTINCT step, unicode(pair[1]) - 259 AS l, unicode(pair[2]) - 259 AS r FROM train WHERE step > 0),
+  names AS (
+    SELECT 0 AS step, (SELECT list(sign ORDER BY id) FROM alphabet) AS v
+    UNION ALL
+    SELECT m.step, list_append(v, v[l] || v[r]) FROM names JOIN merges m ON m.step = names.step + 1),
+  vocabulary AS (SELECT v FROM names ORDER BY step DESC LIMIT 1),
+  coded AS (
+    SELECT word, [unicode(s[i]) - 256 FOR i IN range(1, length(s) + 1)] AS ids
+    FROM train WHERE step = (SELECT max(step) FROM train)),
+  encoded AS (
+    SELECT item_id, any_value(text) AS text, flatten(list(ids ORDER BY i)) AS ids
+    FROM (SELECT item_id, text, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split) JOIN coded USING (word) GROUP BY item_id)
+"""
+
+
+def _benchmark(spark, folder):
+    return tables.texts(spark, folder, "benchmark", "item_id", "item_id", "text")
+
+
+@query(f"""WITH {_BENCHMARK_SQL}
+SELECT CAST(m.step - 1 AS INTEGER) AS rank, v[l] AS "left", v[r] AS "right" FROM merges m, vocabulary
+""")
+def bpe_merges_benchmark(spark, folder):
+    return _trained(spark, _benchmark(spark, folder), "item_id")[0].merges_table(spark)
+
+
+@query(f"""WITH {_BENCHMARK_SQL}
+SELECT item_id, ids, [v[i - 3] FOR i IN ids] AS tokens FROM encoded, vocabulary
+""")
+def bpe_encode_benchmark(spark, folder):
+    items = _benchmark(spark, folder)
+    tokenizer, codes = _coded(spark, items, "item_id")
+    return bpe.encode(items, tokenizer, codes=codes).select(
+        "item_id", "ids", bpe.tokens_of(F.col("ids"), tokenizer).alias("tokens")
+    )
+
+
+@query(f"""WITH {_BENCHMARK_SQL},
+  report AS (
+    SELECT length(text) AS chars, len(ids) AS tokens,
+      len([1 FOR i IN ids IF regexp_full_match(v[i - 3], '[\\p{{L}}\\p{{Nl}}]')]) > 0 AS single_letters
+    FROM encoded, vocabulary)
+SELECT count(*) AS documents, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS round_trips,
+  bool_or(single_letters) AS single_letters, round(sum(chars) / sum(tokens)::DOUBLE, 6) AS ratio,
+  CASE WHEN sum(chars) / sum(tokens)::DOUBLE < {COMPRESSION_LOW} THEN 'low' WHEN sum(chars) / sum(tokens)::DOUBLE < {COMPRESSION_GOOD} THEN 'moderate' ELSE 'good' END AS band
+FROM report
+""")
+def tokenizer_quality_benchmark(spark, folder):
+    items = _benchmark(spark, folder)
+    tokenizer, codes = _coded(spark, items, "item_id")
+    summary = bpe.quality_summary(bpe.quality(items, tokenizer, codes=codes))
+    return summary.withColumn("ratio", F.round("ratio", 6))
+
+
 _VOCAB_SQL = f"""
   words AS (SELECT doc_id, unnest({WORDS_SQL}) AS token FROM documents),
   vocab AS (SELECT token, 3 + row_number() OVER (ORDER BY n DESC, token) AS id
