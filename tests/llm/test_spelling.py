@@ -85,10 +85,3 @@ def test_query_counts_words_by_its_rule(spark, tmp_path):
                 counts[run] += 1
     got = {tuple(r) for r in queries.op11_spelling_variants(spark, str(tmp_path)).collect()}
     assert damaged and got == brute({w: n for w, n in counts.items() if n >= 5})
-
-
-def test_hot_nodes_are_broadcast_and_nothing_is_crossed(spark):
-    words = spark.createDataFrame([("word",), ("ward",), ("wards",)], "word string")
-    plan = spelling._step(words.select("word", F.lit("").alias("node"), F.lit(0).alias("depth"), F.lit(0).alias("edits")).join(spelling.trie(words, 4).drop("depth"), "node"), 0)
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "Cartesian" not in text and "NestedLoop" not in text and "Python" not in text

@@ -1,6 +1,6 @@
 """Spelling variants: frequent words one edit apart, found on a trie whose edges are a distributed table.
 
-A node is a prefix of some word, a row of ``nodes`` with the letters that lead on from it. A
+A node is a prefix of some word, a row of ``nodes`` with the letters that lead on from it and from there. A
 state is a word, the node reached and the edits made (0 or 1) after so many of its letters;
 level after level one join with the nodes moves all states on by one letter:
 
@@ -30,6 +30,10 @@ from textloom.runtime import cut, shuffle_width
 LEVELS = 48
 #: Levels with at most this many nodes are broadcast; they are counted before.
 FEW_NODES = 20_000
+#: So many levels with broadcast nodes are one job.
+TOGETHER = 4
+#: ``edits`` of a pair that is found.
+FOUND = 2
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -38,39 +42,61 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def trie(words: DataFrame, levels: int) -> DataFrame:
-    """``node, depth, letters, below, is_word``: prefixes of ``word`` of up to ``levels`` letters."""
+    """``node, depth, leads, below, is_word``: prefixes of ``word`` of up to ``levels`` letters.
+
+    ``leads`` has each letter that leads on, and the letters that lead on from there as one string.
+    """
     size = F.char_length("word")
     prefixes = words.select("word", F.explode(F.sequence(F.lit(0), F.least(size, F.lit(levels)))).alias("depth"))
     ahead = F.substring("word", F.col("depth") + 1, F.lit(1))
-    return (
+    nodes = (
         prefixes.select(F.substring("word", F.lit(1), F.col("depth")).alias("node"), "depth", ahead.alias("letter"))
         # counted by letter first: a node near the root has a row a letter, not a row a word
         .groupBy("depth", "node", "letter")
         .agg(F.count(F.lit(1)).alias("below"))
         .groupBy("depth", "node")
         .agg(
-            F.array_sort(F.collect_set(F.when(F.col("letter") != "", F.col("letter")))).alias("letters"),
+            F.array_join(F.array_sort(F.collect_set("letter")), "").alias("letters"),
             F.sum("below").alias("below"),
             F.bool_or(F.col("letter") == "").alias("is_word"),
         )
     )
+    up = F.substring("node", F.lit(1), F.col("depth") - 1).alias("node")
+    leads = (
+        nodes.filter("depth > 0")
+        .select((F.col("depth") - 1).alias("depth"), up, F.struct(F.right("node", F.lit(1)).alias("letter"), "letters").alias("lead"))
+        .groupBy("depth", "node")
+        .agg(F.collect_list("lead").alias("leads"))
+    )
+    none = F.array().cast("array<struct<letter: string, letters: string>>")
+    return nodes.join(leads, ["depth", "node"], "left").select("node", "depth", F.coalesce("leads", none).alias("leads"), "below", "is_word")
 
 
 def _step(reached: DataFrame, level: int) -> DataFrame:
-    """States after ``level + 1`` letters, from states joined with their nodes."""
-    letter = F.substring("word", level + 1, 1)
+    """States after ``level + 1`` letters, from states joined with their nodes; found pairs are kept.
+
+    A state after an edit is made only if the letter after next leads on, too.
+    """
+    letter, after = F.substring("word", level + 1, 1), F.substring("word", level + 2, 1)
     own = F.concat("node", letter)
     state = lambda node, depth, edits: F.struct(node.alias("node"), depth.cast("int").alias("depth"), F.lit(edits).alias("edits"))
-    greater = F.filter("letters", lambda c: c > letter)
-    replaced = F.transform(greater, lambda c: state(F.concat("node", c), F.col("depth") + 1, 1))
+    greater = F.filter("leads", lambda c: (c["letter"] > letter) & F.contains(c["letters"], after))
+    replaced = F.transform(greater, lambda c: state(F.concat("node", c["letter"]), F.col("depth") + 1, 1))
+    ended = F.char_length("word") == level
     first_of_run = F.lit(True) if level == 0 else letter != F.substring("word", level, 1)
-    none = F.array().cast(f"array<struct<node: string, depth: int, edits: int>>")
-    untouched = F.concat(
-        F.array(state(own, F.col("depth") + 1, 0)), replaced, F.when(first_of_run, F.array(state(F.col("node"), F.col("depth"), 1))).otherwise(none)
+    goes_on = F.exists("leads", lambda c: (c["letter"] == letter) & F.contains(c["letters"], after))
+    # without the deleted letter the word goes on from the same node
+    skips = F.exists("leads", lambda c: c["letter"] == after) | ((after == "") & F.col("is_word"))
+    none = F.array().cast("array<struct<node: string, depth: int, edits: int>>")
+    deleted = F.when(first_of_run & skips, F.array(state(F.col("node"), F.col("depth"), 1))).otherwise(none)
+    untouched = F.concat(F.array(state(own, F.col("depth") + 1, 0)), replaced, deleted)
+    to = (
+        F.when((F.col("edits") == FOUND) | ended & F.col("is_word") & (F.col("edits") == 1), F.array(state(F.col("node"), F.col("depth"), FOUND)))
+        .when(ended, none)
+        .when(F.col("edits") == 0, F.when(F.col("below") > 1, untouched))
+        .when(goes_on, F.array(state(own, F.col("depth") + 1, 1)))
     )
-    edited = F.when(F.array_contains("letters", letter), F.array(state(own, F.col("depth") + 1, 1))).otherwise(none)
-    to = F.when(F.col("edits") == 1, edited).when(F.col("below") > 1, untouched).otherwise(none)
-    return reached.filter(F.char_length("word") > level).select("word", F.explode(to).alias("to")).select("word", "to.*")
+    return reached.select("word", F.explode(to).alias("to")).select("word", "to.*")
 
 
 def _by_trie(words: DataFrame, levels: int) -> list[DataFrame]:
@@ -83,18 +109,16 @@ def _by_trie(words: DataFrame, levels: int) -> list[DataFrame]:
     # one row a level
     sizes = {r["depth"]: r["count"] for r in nodes.groupBy("depth").count().collect()}
     states = words.select("word", F.lit("").alias("node"), F.lit(0).alias("depth"), F.lit(0).alias("edits"))
-    pairs = []
-    for level in range(max(sizes, default=0) + 1):
+    pairs, deepest = [], max(sizes, default=-1)
+    for level in range(deepest + 1):
         here = nodes.filter(F.col("depth").isin(level - 1, level)).drop("depth")
-        few = sizes.get(level, 0) + sizes.get(level - 1, 0) <= FEW_NODES
-        reached = cut(
-            states.join(F.broadcast(here) if few else here, "node").withColumn(
-                "near", (F.col("edits") == 1) & F.col("is_word") & (F.char_length("word") == level)
-            ),
-            "trie-level",
-        )
-        pairs.append(reached.filter("near").select(F.col("word").alias("a"), F.col("node").alias("b")))
-        states = _step(reached.filter(~F.col("near")), level)
+        few = sizes[level] + sizes.get(level - 1, 0) <= FEW_NODES
+        # found pairs meet no node any more
+        states = _step(states.join(F.broadcast(here) if few else here, "node", "left"), level)
+        if not few or level % TOGETHER == TOGETHER - 1 or level == deepest:
+            states = cut(states, "trie-level")
+            pairs.append(states.filter(F.col("edits") == FOUND).select(F.col("word").alias("a"), F.col("node").alias("b")))
+            states = states.filter(F.col("edits") < FOUND)
     return pairs
 
 
@@ -123,6 +147,8 @@ def near_pairs(words: DataFrame, levels: int = LEVELS) -> DataFrame:
         long = _by_halves(words, levels)
         # those of two words that the trie has, too, are its own
         found.append(long.filter(F.greatest(F.char_length("a"), F.char_length("b")) > levels))
+    if not found:
+        return words.select("word", F.col("word").alias("near")).limit(0)
     pairs = reduce(DataFrame.unionByName, found)
     return pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select(
         F.col("p.a").alias("word"), F.col("p.b").alias("near")
