@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 
-from textloom.operators import generation, ngram, sampling, suites
+from textloom.operators import generation, ngram, sampling, suites, whole
 from textloom.plans import tables
 from textloom.plans.corpus import draw_sql
 from textloom.plans.registry import query
@@ -14,7 +14,7 @@ from textloom.plans.tokens import BYTE_WORDS_SQL, WORDS_SQL
 
 ALPHA, SEED = 0.1, 11
 TEMPERATURE, TOP_K, TOP_P = 0.8, 50, 0.9
-GREEDY_TOKENS, SAMPLED_TOKENS = 50, 8
+GREEDY_TOKENS, SAMPLED_TOKENS = 50, 50
 
 
 def _docs(spark, folder, scheme="word", *columns):
@@ -114,47 +114,82 @@ def softmax_probability(spark, folder):
     return _logged(dist)
 
 
-def _kept_sql(keep: str) -> str:
+def _whole_sql(keep: str, spread: str) -> str:
+    """Kept tokens of each context, ``laid``, and what the unseen ones get, ``rests``."""
     return f"""
-  scaled AS (SELECT context, token, logit / {TEMPERATURE}::DOUBLE AS logit FROM dist),
-  top AS (SELECT *, max(logit) OVER (PARTITION BY context) AS m FROM (SELECT *, rank() OVER (PARTITION BY context ORDER BY logit DESC) AS r FROM scaled) WHERE r <= {TOP_K}),
-  soft AS (SELECT *, exp(logit - m) / sum(exp(logit - m)) OVER (PARTITION BY context) AS p FROM top),
-  summed AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY context ORDER BY p DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM soft),
-  {keep}"""
-
-
-_STANDARD_SQL = _kept_sql(f"""
-  kept AS (SELECT context, token, exp(logit - m) AS mass FROM summed WHERE before < {TOP_P} OR before = 0),
-  shaped AS MATERIALIZED (SELECT context, token, mass / sum(mass) OVER (PARTITION BY context) AS probability FROM kept)""")
-# what is left keeps its mass; with nothing left every token of the context gets the same
-_STRICT_SQL = _kept_sql(f"""
-  kept AS (SELECT context, token, CASE WHEN before + p > {TOP_P} THEN 0 ELSE exp(logit - m) END AS mass FROM summed),
-  spread AS (SELECT context, token, max(mass) OVER (PARTITION BY context) > 0 AS remains, mass FROM
-    (SELECT d.context, d.token, coalesce(k.mass, 0) AS mass FROM dist d LEFT JOIN kept k USING (context, token))),
-  shaped AS (SELECT context, token, CASE WHEN remains THEN mass / sum(mass) OVER (PARTITION BY context) ELSE 1.0::DOUBLE / count(*) OVER (PARTITION BY context) END AS probability
-    FROM spread)""")
-
-
-def _shaped(spark, folder, nucleus="standard"):
-    dist = _model(spark, folder).distribution()
-    return sampling.next_token_distribution(dist, TEMPERATURE, TOP_K, TOP_P, nucleus)
-
-
-@query(f"WITH {_model_sql()}, {_STANDARD_SQL} SELECT context, token, round(ln(probability), 6) AS log_probability FROM shaped")
+  vocabulary AS MATERIALIZED (SELECT t AS token, row_number() OVER (ORDER BY t) - 1 AS place
+    FROM (SELECT DISTINCT unnest(w) AS t FROM words WHERE len(w) >= 2)),
+  stats AS (SELECT context, count(*) AS seen, max(n) AS most FROM pairs GROUP BY context),
+  ranked AS (
+    SELECT context, token, n, most, CASE WHEN seen < {TOP_K} THEN v - seen ELSE 0 END AS others,
+      exp(ln((n + 0.1::DOUBLE) / (most + 0.1::DOUBLE)) * {1 / TEMPERATURE}::DOUBLE) AS w,
+      exp(ln(0.1::DOUBLE / (most + 0.1::DOUBLE)) * {1 / TEMPERATURE}::DOUBLE) AS u
+    FROM (SELECT *, rank() OVER (PARTITION BY context ORDER BY n DESC) AS r FROM pairs) JOIN stats USING (context), size WHERE r <= {TOP_K}),
+  summed AS (
+    SELECT *, row_number() OVER near AS i, coalesce(sum(w) OVER (near ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+      sum(w) OVER (PARTITION BY context) AS mass, sum(w) OVER (PARTITION BY context) + others * u AS z
+    FROM ranked WINDOW near AS (PARTITION BY context ORDER BY n DESC, token)),
+  marked AS (SELECT *, {keep} AS keep FROM summed),
+  rests AS MATERIALIZED (
+    SELECT *, kept = 0 AND spread = 0 AS even, prefix + spread * u AS whole FROM (
+      SELECT context, any_value(u) AS u, count(*) FILTER (keep) AS kept, coalesce(max(before + w) FILTER (keep), 0) AS prefix,
+        least(any_value(others), greatest(0, {spread}((any_value({TOP_P} - mass / z)) / any_value(u / z)))) AS spread
+      FROM marked GROUP BY context)),
+  laid AS MATERIALIZED (
+    SELECT context, token, w / whole AS probability, before / whole AS low,
+      coalesce(lead(before / whole) OVER (PARTITION BY context ORDER BY i), CASE WHEN spread > 0 THEN prefix / whole ELSE 2 END) AS high
+    FROM marked JOIN rests USING (context) WHERE keep)"""
+
+
+_STANDARD_SQL = _whole_sql(f"before / z < {TOP_P} OR row_number() OVER (PARTITION BY context ORDER BY n DESC, token) = 1", "ceil")
+_STRICT_SQL = _whole_sql(f"(before + w) / z <= {TOP_P}", "floor")
+_LISTED_SQL = """
+SELECT context, token, round(ln(probability), 6) AS log_probability, 1::BIGINT AS tokens FROM laid
+UNION ALL
+SELECT context, NULL, round(ln(CASE WHEN even THEN 1 / v ELSE u / whole END), 6), CAST(CASE WHEN even THEN v ELSE spread END AS BIGINT)
+FROM rests, size WHERE even OR spread > 0"""
+
+
+def _whole(spark, folder, nucleus="standard"):
+    return whole.fit_whole(_model(spark, folder), TEMPERATURE, TOP_K, TOP_P, nucleus)
+
+
+def _listed(kept):
+    rows = whole.listed(kept)
+    return rows.select("context", "token", F.round(F.log("probability"), 6).alias("log_probability"), "tokens")
+
+
+@query(f"WITH {_model_sql()}, {_STANDARD_SQL} {_LISTED_SQL}")
 def topk_topp(spark, folder):
-    return _logged(_shaped(spark, folder))
+    """Kept tokens of each context; those that were never seen after it are one row."""
+    return _listed(_whole(spark, folder))
 
 
-@query(f"WITH {_model_sql()}, {_STRICT_SQL} SELECT context, token, round(ln(probability), 6) AS log_probability FROM shaped WHERE probability > 0")
+@query(f"WITH {_model_sql()}, {_STRICT_SQL} {_LISTED_SQL}")
 def topk_topp_strict(spark, folder):
-    """The nucleus rule without a shift: the crossing token goes, too."""
-    return _logged(_shaped(spark, folder, "strict"))
+    """The nucleus rule without a shift: the crossing token goes, too, and with nothing left all tokens are as likely."""
+    return _listed(_whole(spark, folder, "strict"))
+
 
+# the tokens unseen after a context are addressed by their place in the order of the vocabulary
+_DRAW_SQL = f"""
+  places AS MATERIALIZED (
+    SELECT context, list(place ORDER BY place) AS places FROM pairs JOIN vocabulary USING (token)
+    WHERE context IN (SELECT context FROM rests WHERE spread > 0) GROUP BY context),
+  alone AS (SELECT least(v, ceil({TOP_P} / (1 / v))) AS alone FROM size)"""
 
-_STRETCH_SQL = """
-  laid AS (SELECT context, token, coalesce(sum(probability) OVER (PARTITION BY context ORDER BY probability DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low,
-    probability, row_number() OVER (PARTITION BY context ORDER BY probability, token DESC) AS back FROM shaped),
-  stretches AS MATERIALIZED (SELECT context, token, low, CASE WHEN back = 1 THEN 1.0::DOUBLE ELSE low + probability END AS high FROM laid)"""
+
+def _drawn_sql(asked: str) -> str:
+    """``asked(*, context, x)`` with the drawn ``token``."""
+    return f"""(
+    SELECT d.* EXCLUDE (inner_token, among, places), coalesce(inner_token, t.token) AS token
+    FROM (
+      SELECT a.*, l.token AS inner_token, p.places,
+        CASE WHEN r.context IS NULL THEN least(floor(x * alone), alone - 1)
+          WHEN r.spread > 0 AND x >= prefix / whole THEN least(floor((x - prefix / whole) / (1 - prefix / whole) * spread), spread - 1) END AS among
+      FROM {asked} a LEFT JOIN rests r ON r.context = a.context LEFT JOIN places p ON p.context = a.context AND r.spread > 0
+        LEFT JOIN laid l ON l.context = a.context AND x >= l.low AND x < l.high, alone) d
+    LEFT JOIN vocabulary t ON t.place = among + coalesce(len(list_filter(places, lambda s, i: s - i + 1 <= among)), 0))"""
 
 
 def _prompts(spark, folder):
@@ -169,32 +204,26 @@ _PROMPTS_SQL = f"""
     (SELECT conv_id, turn, {WORDS_SQL} AS w FROM conversations WHERE role = 'user'))"""
 
 
-@query(f"""WITH {_model_sql()}, {_STANDARD_SQL}, {_STRETCH_SQL}, {_PROMPTS_SQL},
-drawn AS (SELECT *, {draw_sql(f"'{SEED}:' || prompt_id")} AS u FROM prompts)
-SELECT prompt_id, s.token FROM drawn LEFT JOIN stretches s ON s.context = drawn.context AND u >= low AND u < high
+@query(f"""WITH {_model_sql()}, {_STANDARD_SQL}, {_DRAW_SQL}, {_PROMPTS_SQL},
+asked AS (SELECT *, {draw_sql(f"'{SEED}:' || prompt_id")} AS x FROM prompts)
+SELECT prompt_id, token FROM {_drawn_sql("asked")}
 """)
 def sample_next(spark, folder):
-    asked = _prompts(spark, folder).withColumn("context", generation.last_context(F.col("tokens")))
-    return sampling.sample_next(
-        asked, _model(spark, folder).distribution(), "prompt_id", SEED,
-        temperature=TEMPERATURE, top_k=TOP_K, top_p=TOP_P,
-    ).select("prompt_id", "token")
+    """A token for each prompt; one that ends in an unknown word draws from the whole vocabulary."""
+    asked = _prompts(spark, folder).select("prompt_id", generation.last_context(F.col("tokens")).alias("context"))
+    return whole.sample_next(asked, _whole(spark, folder), "prompt_id", SEED).select("prompt_id", "token")
 
 
-@query(f"""WITH RECURSIVE {_model_sql()}, {_STANDARD_SQL}, {_STRETCH_SQL}, {_PROMPTS_SQL},
+@query(f"""WITH RECURSIVE {_model_sql()}, {_STANDARD_SQL}, {_DRAW_SQL}, {_PROMPTS_SQL},
 walk AS (
   SELECT prompt_id, 0 AS step, context, '' AS continuation FROM prompts
   UNION ALL
-  SELECT prompt_id, step + 1, s.token, CASE WHEN s.token IS NULL THEN continuation ELSE continuation || ' ' || s.token END
-  FROM (SELECT *, {draw_sql(f"'{SEED}:' || prompt_id || ':' || step")} AS u FROM walk WHERE step < {SAMPLED_TOKENS}) w
-  LEFT JOIN stretches s ON s.context = w.context AND u >= low AND u < high)
+  SELECT prompt_id, step + 1, token, continuation || ' ' || token
+  FROM {_drawn_sql(f"(SELECT *, {draw_sql(f"'{SEED}:' || prompt_id || ':' || step")} AS x FROM walk WHERE step < {SAMPLED_TOKENS})")})
 SELECT prompt_id, trim(continuation) AS continuation FROM walk WHERE step = {SAMPLED_TOKENS}
 """)
 def sample_continue(spark, folder):
-    done = generation.continue_sampled(
-        _prompts(spark, folder), _model(spark, folder), "prompt_id", SAMPLED_TOKENS,
-        TEMPERATURE, TOP_K, TOP_P, seed=SEED,
-    )
+    done = whole.continue_sampled(_prompts(spark, folder), _whole(spark, folder), "prompt_id", SAMPLED_TOKENS, seed=SEED)
     return done.select("prompt_id", F.array_join("new_tokens", " ").alias("continuation"))
 
 
