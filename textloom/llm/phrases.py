@@ -31,7 +31,7 @@ from textloom.runtime import cut, position
 
 #: Ids a side of a tile; pairs from which a tile is counted as a dense square.
 SIDE, DENSE = 1024, 1 << 17
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 
 # The ends of pieces, and the white space between words (a tab and a blank).
 ENDS = r"[.,;:!?\n-\r]+"
@@ -88,7 +88,7 @@ def _block(block: int, grp: str | None, texts: pa.Array) -> pa.RecordBatch:
     place[order] = np.arange(len(order))
     place[is_end] = -1
     order = order[: len(order) - int(is_end.sum())]
-    return pa.RecordBatch.from_pydict(
+    built = pa.RecordBatch.from_pydict(
         {
             "block": pa.array([block], pa.int64()),
             "grp": pa.array([grp], pa.string()),
@@ -97,6 +97,10 @@ def _block(block: int, grp: str | None, texts: pa.Array) -> pa.RecordBatch:
             "codes": pa.array([packed(place[codes])], pa.binary()),
         }
     )
+    del texts, coded, words
+    # a worker lives on after its task; Arrow would keep what the largest block took
+    pa.default_memory_pool().release_unused()
+    return built
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +115,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting.setdefault(name.as_py(), []).append(texts)
             size[name.as_py()] = size.get(name.as_py(), 0) + texts.nbytes
         full = [g for g, n in size.items() if n >= BLOCK_BYTES]
-        if sum(size.values()) >= 4 * BLOCK_BYTES:
+        if sum(size.values()) >= 2 * BLOCK_BYTES:
             full = list(size)
         for grp in full:
             block += 1
@@ -142,6 +146,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 columns = [pa.array(np.full(len(part), block)), pa.array([grp]).take(pa.array(np.zeros(len(part), np.int8)))]
                 columns += [pa.array((part >> 32).astype(np.int32)), pa.array((part & 0xFFFFFFFF).astype(np.int32)), pa.array(n)]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "grp", "left", "right", "n"])
+            pa.default_memory_pool().release_unused()
 
 
 def _recode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
