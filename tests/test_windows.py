@@ -92,3 +92,56 @@ def test_weight_for_share(spark):
     books = spark.createDataFrame([("b", "y" * 200)], "name string, text string")
     row = corpus.weight_for_share(code, books, 0.6).first()
     assert (row.code_weight, row.code_share) == (3, 0.6)
+
+
+def brute_windows(parts, block):
+    """Windows of each part's stream at every start; the last one is left out, as in samples()."""
+    streams = {p: [t for _, tokens in sorted(docs) for t in tokens] for p, docs in parts.items()}
+    return {p: [tuple(s[i : i + block]) for i in range(len(s) - block - 1)] for p, s in streams.items()}
+
+
+@pytest.mark.parametrize("block, bucket", [(4, None), (4, 5), (16, 17), (128, None)])
+def test_window_leak_equals_brute_force(spark, block, bucket):
+    import random
+
+    rnd = random.Random(block)
+    phrase = [rnd.choice("abcdef") for _ in range(40)]
+    parts = {"train": [], "validation": []}
+    for i in range(60):
+        tokens = [rnd.choice("abcdefghij") for _ in range(rnd.randint(0, 60))]
+        if rnd.random() < 0.4:
+            tokens[5:5] = phrase
+        parts[rnd.choice(["train", "validation"])].append((i, tokens))
+    rows = [(p, i, t) for p, docs in parts.items() for i, t in docs]
+    split = spark.createDataFrame(rows, "part string, id int, tokens array<string>")
+    found = brute_windows(parts, block)
+    trained = set(found["train"])
+    leaked = sum(w in trained for w in found["validation"])
+    assert windows.window_overlap(split, ["id"], block).first().asDict() == {
+        "validation": len(found["validation"]), "leaked": leaked, "clean": len(found["validation"]) - leaked
+    }
+    assert leaked or block > 16
+    # equal hashes and equal windows are the same thing, whatever the buckets
+    hashes = windows.window_hashes(split.filter("part = 'train'"), ["id"], block, bucket=bucket).orderBy("start").collect()
+    assert [r.start for r in hashes] == list(range(len(found["train"])))
+    assert len({(r.h1, r.h2, r.h3) for r in hashes}) == len(trained) == len({(w, r.h1, r.h2, r.h3) for w, r in zip(found["train"], hashes)})
+
+
+def test_window_sums_equal_brute_force(spark):
+    docs = spark.createDataFrame([(i, [str(j % 7) for j in range(i % 5)]) for i in range(40)], "id int, tokens array<string>")
+    stream = [int(t) for r in docs.orderBy("id").collect() for t in r.tokens]
+    got = windows.window_sums(docs, ["id"], 3, F.col("token").cast("int"), bucket=7).orderBy("start").collect()
+    want = []
+    for i in range(len(stream) - 4):
+        x, y = stream[i : i + 3], stream[i + 1 : i + 4]
+        want.append((i, sum(x), x[1] + 2 * x[2], sum(y), y[1] + 2 * y[2]))
+    assert [tuple(r) for r in got] == want
+    assert windows.window_sums(docs.limit(0), ["id"], 3, F.lit(1)).count() == 0
+
+
+def test_windows_are_not_repeated_by_token(spark):
+    docs = spark.createDataFrame([(1, ["a"])], "id int, tokens array<string>")
+    for df in (windows.window_sums(docs, ["id"], 128, F.length("token")), windows.window_hashes(docs, ["id"], 128)):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        # windows use the partitioning of the buckets
+        assert text.count("Exchange hashpartitioning(bucket") == 1 and "Python" not in text.replace("PythonRDD", "")

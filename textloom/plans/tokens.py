@@ -285,30 +285,18 @@ def samples(spark, folder):
 WITH tokens AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS token
     FROM (SELECT doc_id, {BYTE_WORDS_SQL} AS w FROM documents)),
 stream AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, length(token) * 1000 + unicode(token) AS sign FROM tokens),
-sums AS (SELECT pos, sum(sign) OVER near AS s, sum(pos * sign) OVER near AS p FROM stream
-  WINDOW near AS (ORDER BY pos ROWS BETWEEN CURRENT ROW AND {BLOCK - 1} FOLLOWING))
-SELECT a.pos AS start, CAST(a.s AS BIGINT) AS x_sum, CAST(a.p - a.pos * a.s AS BIGINT) AS x_places,
-  CAST(b.s AS BIGINT) AS y_sum, CAST(b.p - b.pos * b.s AS BIGINT) AS y_places
-FROM sums a JOIN sums b ON b.pos = a.pos + 1 WHERE a.pos <= (SELECT count(*) FROM tokens) - {BLOCK} - 2
+totals AS (SELECT pos, coalesce(sum(sign) OVER near, 0) AS s, coalesce(sum(pos * sign) OVER near, 0) AS p FROM stream
+  WINDOW near AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ahead AS (SELECT pos, s, p, lead(s) OVER w AS s1, lead(p) OVER w AS p1, lead(s, {BLOCK}) OVER w AS s_end, lead(p, {BLOCK}) OVER w AS p_end,
+    lead(s, {BLOCK + 1}) OVER w AS s1_end, lead(p, {BLOCK + 1}) OVER w AS p1_end FROM totals WINDOW w AS (ORDER BY pos))
+SELECT pos AS start, CAST(s_end - s AS BIGINT) AS x_sum, CAST(p_end - p - pos * (s_end - s) AS BIGINT) AS x_places,
+  CAST(s1_end - s1 AS BIGINT) AS y_sum, CAST(p1_end - p1 - (pos + 1) * (s1_end - s1) AS BIGINT) AS y_places
+FROM ahead WHERE pos <= (SELECT count(*) FROM tokens) - {BLOCK} - 2
 """)
 def samples_every_start(spark, folder):
     """A window at every token, each with sums that tell its tokens and their places."""
-    cut = windows.samples(_tokenized(spark, folder), ["doc_id"], BLOCK, stride=1)
-
-    def signs(column):
-        return F.transform(column, lambda t: F.char_length(t).cast("bigint") * 1000 + F.ascii(t))
-
-    def total(column):
-        return F.aggregate(column, F.lit(0).cast("bigint"), lambda n, s: n + s)
-
-    signed = cut.select("start", signs("x").alias("x"), signs("y").alias("y"))
-    return signed.select(
-        "start",
-        total("x").alias("x_sum"),
-        total(F.transform("x", lambda s, i: s * i)).alias("x_places"),
-        total("y").alias("y_sum"),
-        total(F.transform("y", lambda s, i: s * i)).alias("y_places"),
-    )
+    sign = F.char_length("token").cast("bigint") * 1000 + F.ascii("token")
+    return windows.window_sums(_tokenized(spark, folder), ["doc_id"], BLOCK, sign)
 
 
 @query(f"""
@@ -375,3 +363,29 @@ def unleaked_validation(spark, folder):
     split = corpus.split_by_sample(docs, "doc_id", 0.2, seed=7).withColumn("digest", F.md5("text"))
     train, validation = split.filter("part = 'train'"), split.filter("part = 'validation'")
     return windows.unleaked(validation, train, "digest").select("doc_id")
+
+
+# Equal windows by doubling: windows of k tokens have equal numbers if they are equal, and two of them make one of 2 k.
+_DOUBLED_SQL = ",\n".join(
+    f"""  d{2 * k} AS (SELECT part, pos, dense_rank() OVER (ORDER BY a, b) AS id FROM (
+    SELECT part, pos, id AS a, lead(id, {k}) OVER (PARTITION BY part ORDER BY pos) AS b FROM d{k}) WHERE b IS NOT NULL)"""
+    for k in (1, 2, 4, 8, 16, 32, 64)
+)
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, text, {_SAMPLE_SPLIT_SQL} AS part FROM documents),
+  tokens AS (SELECT part, doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS token FROM (SELECT part, doc_id, {BYTE_WORDS_SQL} AS w FROM s)),
+  d1 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY doc_id, i) - 1 AS pos, dense_rank() OVER (ORDER BY token) AS id FROM tokens),
+{_DOUBLED_SQL},
+  windows AS (SELECT part, id FROM d{BLOCK} JOIN (SELECT part, count(*) AS n FROM d1 GROUP BY part) USING (part) WHERE pos <= n - {BLOCK} - 2)
+SELECT count(*) AS validation, count(*) FILTER (id IN (SELECT id FROM windows WHERE part = 'train')) AS leaked,
+  count(*) FILTER (id NOT IN (SELECT id FROM windows WHERE part = 'train')) AS clean
+FROM windows WHERE part = 'validation'
+""")
+def window_leak(spark, folder):
+    """Windows of the validation stream that the training stream has, too, after a split by single rows."""
+    docs = tables.documents(spark, folder, "doc_id", "text")
+    split = corpus.split_by_sample(docs, "doc_id", 0.2, seed=7)
+    tokenized = split.select("part", "doc_id", tx.byte_words_of(F.col("text")).alias("tokens"))
+    return windows.window_overlap(tokenized, ["doc_id"], BLOCK)
