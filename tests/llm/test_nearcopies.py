@@ -59,6 +59,32 @@ def test_every_pair_of_the_similarity_is_found_and_no_other(spark, monkeypatch,
     assert len(set(want)) < simhash.dedup(docs).count()
 
 
+def test_texts_of_one_template_make_no_large_group(spark, monkeypatch):
+    """Pairs at about 0.4: chains of shared bands run through most of them, and none is a link."""
+    rnd = random.Random(7)
+    body = [f"w{rnd.getrandbits(40)}" for _ in range(100)]
+    texts = [" ".join(altered(rnd, body, 8)) for _ in range(300)]
+    met = {}
+
+    def watched(members, words, least, compare=nearcopies._links_in_keys):
+        met["texts"] = members.groupBy("m", "band", "i", "j").count().agg(F.max("count")).first()[0]
+        return compare(members, words, least)
+
+    monkeypatch.setattr(nearcopies, "_links_in_keys", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert nearcopies.dedup(docs).count() == len(set(classes(texts, 0.8)))
+    assert met["texts"] < 100
+
+
+def test_one_large_key_is_cut_by_texts(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "MEMBERS", 7)
+    rnd = random.Random(8)
+    body = [f"w{rnd.getrandbits(40)}" for _ in range(120)]
+    texts = [" ".join(altered(rnd, body, rnd.randrange(1, 9))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert nearcopies.dedup(docs).count() == len(set(classes(texts, 0.8)))
+
+
 def test_odd_rows(spark):
     kept = nearcopies.dedup(odd.documents(spark))
     assert kept.columns == odd.documents(spark).columns

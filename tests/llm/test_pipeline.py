@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.compare import difference, duck
 from tests.llm import odd
+from tests.llm.test_nearcopies import classes
 from textloom.llm.queries import ORACLES, QUERIES
 from textloom.runtime import cut
 
@@ -21,7 +22,7 @@ def test_queries_with_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_keep_columns_and_their_decisions(spark):
@@ -38,9 +39,8 @@ def test_stages_keep_columns_and_their_decisions(spark):
     lines = Counter(x.strip().lower() for r in left[1].collect() for x in set(r.text.split("\n")))
     after = {x.strip().lower() for r in left[2].collect() for x in r.text.split("\n")} - {""}
     assert after and not any(lines[x] >= 20 for x in after)
-    from textloom.llm import simhash
-
-    alone = simhash.near_duplicates(left[2]).filter("doc_id = component").select("doc_id").distinct().count()
+    # every pair by brute force, at five words and 0.8
+    alone = len(set(classes([r.text for r in left[2].collect()], 0.8)))
     assert left[3].count() == len(ids[3]) == alone < left[2].count()
     words = [df.agg(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] for df in left[3:5]]
     assert abs(words[0] - words[1]) < 0.2 * words[0]

@@ -3,12 +3,16 @@
 A text is the set of its shingles of ``words`` words, blank-separated and with A-Z in lower case; one with
 fewer words is one shingle. Candidates share a band: ``ROWS`` of ``BANDS * ROWS`` min-hashes. A pair of
 similarity s shares one with probability 1 - (1 - s ** ROWS) ** BANDS: 99.96 % at 0.8, 99.9999994 % at 0.9.
-No pair is linked for that alone. Bands join candidates to groups, and within a group the pairs that
-share a band are compared by their whole sets; pairs whose documents are linked already are passed over.
 
-A group of more than ``BLOCK`` bytes is split into blocks, every pair of which is compared in a task of
-its own. Tasks emit a spanning forest of the links they find; connected components then join them.
-Texts of equal words are looked at once. Null, empty and blank texts are copies of each other.
+No pair is linked, and no two are brought together, for a chain of shared bands. First each text of a band key is compared
+with the least one of the key, which joins the copies of a text in about as many comparisons as there are copies. Then the
+keys whose texts are not all in one class of verified links are looked at again, and their texts of different classes
+compared. Keys of more than ``BLOCK`` bytes or ``MEMBERS`` texts are split into blocks, every pair of which is a task of its
+own; comparisons with one text are split by ``MEMBERS``, too. Connected components are those of verified links only.
+
+Texts of equal words are looked at once, so repeated rows and copies cost nothing. Null, empty and blank texts are copies
+of each other; rows without key are rows like others. An empty table gives an empty result; other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +28,11 @@ from pyspark.sql import functions as F
 from textloom.llm.common import slices, text_key
 from textloom.llm.components import components
 from textloom.llm.simhash import first_of_each
-from textloom.runtime import cut
+from textloom.runtime import cut, shuffle_width
 
 BANDS, ROWS = 20, 5
-#: Bytes of text of one group compared in one task.
-BLOCK = 16 << 20
+#: Bytes of text, and texts, of one key that are compared in one task.
+BLOCK, MEMBERS = 16 << 20, 512
 #: Shingles hashed at a time.
 _CHUNK = 1 << 14
 
@@ -65,79 +69,82 @@ def _signed(number: int) -> int:
     return number - (1 << 64) if number >> 63 else number
 
 
-def linked(sets: list[np.ndarray], keys: list[np.ndarray], left: np.ndarray | None, least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that share a band and are at least ``least`` similar.
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets are at least ``least`` similar; a tolerance far below 1 / (number of shingles) for rounding."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    shared = int((b[at] == a).sum())
+    return shared + 1e-9 >= least * (len(a) + len(b) - shared)
+
+
+def linked(sets: list[np.ndarray], classes: list[int], left: list[bool] | None, least: float) -> list[tuple[int, int]]:
+    """A spanning forest, over what ``classes`` join already, of the pairs that are similar.
 
     With ``left``, only pairs of one row of it and one other row are compared.
     """
-    sizes = np.array([len(s) for s in sets])
-    edges = np.concatenate([[0], np.cumsum(sizes)])
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    marked = np.zeros(int(flat.max()) + 1, bool)
-    label, out = np.arange(len(sets)), []
-    places: dict[tuple[int, int], list[int]] = {}
+    label, out = np.unique(np.array(classes), return_inverse=True)[1], []
     for x in range(len(sets)):
-        met: list[int] = []
-        for band, key in enumerate(keys[x].tolist()):
-            held = places.setdefault((band, key), [])
-            met += held
-            held.append(x)
-        if not met:
-            continue
-        rest, times = np.unique(np.array(met), return_counts=True)
-        rest = rest[np.argsort(-times, kind="stable")]
-        if left is not None:
-            rest = rest[left[rest] != left[x]]
-        marked[flat[edges[x] : edges[x + 1]]] = True
-        step = 1
-        while len(rest := rest[label[rest] != label[x]]):
-            some, rest, step = rest[:step], rest[step:], min(2 * step, 64)
-            for y in some.tolist():
-                if label[y] == label[x]:
-                    continue
-                shared = int(marked[flat[edges[y] : edges[y + 1]]].sum())
-                # a tolerance far below 1 / (number of shingles) against rounding
-                if shared + 1e-9 >= least * (sizes[x] + sizes[y] - shared):
-                    out.append((x, y))
-                    label[label == label[y]] = label[x]
-        marked[flat[edges[x] : edges[x + 1]]] = False
+        for y in range(x):
+            if label[y] != label[x] and (left is None or left[x] != left[y]) and similar(sets[x], sets[y], least):
+                out.append((x, y))
+                label[label == label[y]] = label[x]
     return out
 
 
-def _links(members: DataFrame, words: int, least: float) -> DataFrame:
-    """``(a, b)`` from ``(root, i, j, left, f, text)``, one task for each ``(root, i, j)``."""
-    group = ["root", "i", "j"]
-    dealt = members.repartition(*group).sortWithinPartitions(*group)
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
 
-    def flush(key: tuple, held: dict[tuple[int, bool], np.ndarray]) -> pa.RecordBatch | None:
-        if len(held) < 2:
-            return None
-        names = [n for n, _ in held]
-        sides = None if key[1] == key[2] else np.array([s for _, s in held])
-        sets = list(held.values())
-        pairs = linked(sets, [bands(s) for s in sets], sides, least)
-        if not pairs:
-            return None
-        a, b = ([names[p[k]] for p in pairs] for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _links_to_least(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of ``a, b`` whose texts are similar. Rows of one ``b`` are dealt to as many tasks as they need."""
+    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("shares"))
+    asked = pairs.join(shares, "b").select("b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.col("a").alias("f"))
+    heads = shares.select("b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("b").alias("f"))
+    rows = asked.unionByName(heads).join(texts, "f").withColumn("head", F.col("f") == F.col("b"))
+    dealt = rows.repartition(shuffle_width(pairs.sparkSession), "b", "share").sortWithinPartitions("b", "share", F.desc("head"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
+        head = np.zeros(0, np.uint64)
         for batch in slices(batches, "text"):
-            columns = [batch.column(c).to_pylist() for c in (*group, "left", "f")]
-            for root, i, j, side, f, text in zip(*columns, batch.column("text")):
-                if (root, i, j) != now:
-                    out = flush(now, held) if held else None
-                    if out is not None:
+            found = []
+            for b, f, text in zip(batch.column("b").to_pylist(), batch.column("f").to_pylist(), batch.column("text")):
+                shingled = shingles(text.as_py(), words)[1]
+                if f == b:
+                    head = shingled
+                elif similar(head, shingled, least):
+                    found.append((f, b))
+            if found:
+                yield _pairs(found)
+
+    return dealt.mapInArrow(compare, "a bigint, b bigint")
+
+
+def _links_in_keys(members: DataFrame, words: int, least: float) -> DataFrame:
+    """``(a, b)`` from ``(m, band, i, j, left, f, class, text)``, one task for each ``(m, band, i, j)``."""
+    group = ["m", "band", "i", "j"]
+    dealt = members.repartition(shuffle_width(members.sparkSession), *group).sortWithinPartitions(*group)
+
+    def flush(key: tuple, held: list[tuple[int, int, bool, np.ndarray]]) -> pa.RecordBatch | None:
+        names, classes, sides, sets = (list(x) for x in zip(*held))
+        found = linked(sets, classes, None if key[2] == key[3] else sides, least)
+        return _pairs([(names[x], names[y]) for x, y in found]) if found else None
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in slices(batches, "text"):
+            columns = [batch.column(c).to_pylist() for c in (*group, "f", "class", "left")]
+            for *key, f, name, side, text in zip(*columns, batch.column("text")):
+                if key != now:
+                    if held and (out := flush(now, held)):
                         yield out
-                    now, held = (root, i, j), {}
-                if (f, side) not in held:  # repeated rows
-                    held[f, side] = shingles(text.as_py(), words)[1]
-        out = flush(now, held) if held else None
-        if out is not None:
+                    now, held = key, []
+                held.append((f, name, side, shingles(text.as_py(), words)[1]))
+        if held and (out := flush(now, held)):
             yield out
 
-    return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
 def classed(docs: DataFrame, words: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,26 +168,42 @@ def classed(docs: DataFrame, words: int = 5, least: float = 0.8, key: str = "doc
     keyed = cut(distinct.select("f", F.posexplode("keys").alias("m", "band")), "bands")
     shared = keyed.groupBy("m", "band").agg(F.min("f").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut(shared.drop("n"), "shared-bands")
-    near = components(keyed.join(shared, ["m", "band"]).select(F.col("f").alias("a"), F.col("least").alias("b")))
+    held = cut(keyed.join(shared, ["m", "band"]).select("m", "band", "f", "least"), "held-keys")
 
-    candidates = distinct.join(near.withColumnRenamed("node", "f"), "f").select("f", "root", "row.*")
-    candidates = cut(candidates.select(*(F.col(c).alias(f"c_{c}") for c in ("f", "root", "key", "t1", "t2"))), "candidates")
+    # the texts that share a band with another, each once
+    candidates = distinct.join(held.select("f").distinct(), "f").select("f", "row.*")
+    candidates = cut(candidates.select(*(F.col(c).alias(f"c_{c}") for c in ("f", "key", "t1", "t2"))), "candidates")
     same = F.col("key").eqNullSafe(F.col("c_key")) & (F.col("t1") == F.col("c_t1")) & (F.col("t2") == F.col("c_t2"))
-    texts = named.join(candidates, same).select(F.col("c_root").alias("root"), F.col("c_f").alias("f"), "text")
+    # repeated rows of one key and text give the same text
+    texts = named.join(candidates, same).groupBy(F.col("c_f").alias("f")).agg(F.first("text").alias("text"))
     texts = cut(texts, "candidate-texts")
-    parts = texts.groupBy("root").agg(F.ceil(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64) / BLOCK).cast("int").alias("blocks"))
-    members = texts.join(cut(parts, "group-blocks"), "root")
-    members = members.withColumn("mine", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int"))
-    # a block meets itself and every other block of its group once
+
+    pairs = cut(held.filter("f <> least").select(F.col("f").alias("a"), F.col("least").alias("b")).distinct(), "least-pairs")
+    links = cut(_links_to_least(pairs, texts, words, least), "links")
+    near = components(links).withColumnRenamed("node", "f")
+
+    # a key of two texts has no other pair
+    classed_keys = cut(held.join(near, "f", "left").select("m", "band", "f", F.coalesce("root", "f").alias("class")), "classed-keys")
+    open_keys = classed_keys.groupBy("m", "band").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    open_keys = open_keys.filter((F.col("n") > 2) & (F.col("lo") != F.col("hi"))).select("m", "band")
+    sized = texts.select("f", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
+    members = cut(classed_keys.join(open_keys, ["m", "band"]).join(sized, "f"), "open-keys")
+    parts = members.groupBy("m", "band").agg(
+        F.ceil(F.greatest(F.sum(F.col("bytes") + 64) / BLOCK, F.count(F.lit(1)) / MEMBERS)).cast("int").alias("blocks")
+    )
+    members = members.join(parts, ["m", "band"]).withColumn("mine", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int"))
+    # a block meets itself and every other block of its key once
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "root",
+        "m",
+        "band",
         F.least("mine", "other").alias("i"),
         F.greatest("mine", "other").alias("j"),
         (F.col("mine") <= F.col("other")).alias("left"),
         "f",
-        "text",
+        "class",
     )
-    stars = components(_links(members, words, least))
+    more = cut(_links_in_keys(members.join(texts, "f"), words, least), "more-links")
+    stars = components(links.unionByName(more))
     member = distinct.select("f", "n").join(stars.withColumnRenamed("node", "f"), "f", "left")
     member = member.withColumn("root", F.coalesce("root", "f")).filter("n > 1 OR root IS NOT NULL")
     sizes = member.groupBy("root").agg(F.sum("n").alias("members")).filter("members > 1").select("root")
