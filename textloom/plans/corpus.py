@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators import corpus, documents
+from textloom.operators import corpus, documents, order
+from textloom.operators.order import BASES, PRIME
 from textloom.plans import tables
 from textloom.plans.registry import query
 from textloom.runtime import scratch_path
@@ -130,20 +131,27 @@ def corpus_status(spark, folder):
     return documents.corpus_stats(_mixture(spark, folder), ["kind"])
 
 
+def _digest_sql(base: int, first: int) -> str:
+    """Eight digits of each line's MD5 times the base to the power of its place, which has up to 24 bits."""
+    powers = ", ".join(f"CASE WHEN (i >> {k}) & 1 = 1 THEN {pow(base, 1 << k, PRIME)} ELSE 1 END" for k in range(24))
+    sign = f"CAST('0x' || substr(md5(line), {first}, 8) AS BIGINT) % {PRIME}"
+    return f"sum(({sign}) * list_reduce([{powers}]::BIGINT[], lambda a, b: a * b % {PRIME}) % {PRIME}) % {PRIME}"
+
+
 @query(f"""WITH {_PIECES_SQL},
-whole AS (SELECT string_agg(piece, '' ORDER BY section, copy, place, name) AS text FROM pieces)
-SELECT {LINES_SQL} - 1 AS newlines, {WORDS_SQL} AS words, CAST(length(text) AS BIGINT) AS chars FROM whole
+whole AS (SELECT string_agg(piece, '' ORDER BY section, copy, place, name) AS text FROM pieces),
+listed AS (SELECT generate_subscripts(w, 1) - 1 AS i, unnest(w) AS line FROM (SELECT string_split(left(text, length(text) - 1), chr(10)) AS w FROM whole))
+SELECT {LINES_SQL} - 1 AS newlines, {WORDS_SQL} AS words, CAST(length(text) AS BIGINT) AS chars,
+  (SELECT CAST(({_digest_sql(BASES[0], 1)}) * {1 << 31} + {_digest_sql(BASES[1], 9)} AS BIGINT) FROM listed) AS digest
+FROM whole
 """)
 def corpus_text_roundtrip(spark, folder):
-    """Write the corpus text, read the files back, count."""
+    """Write the corpus text, read its lines back in splits, count, and prove their order."""
     path = scratch_path(spark, "corpus")
     files.write_corpus_text(corpus.rendered(_mixture(spark, folder), CODE_WEIGHT), path)
-    t = F.col("text")
-    return files.scan_corpus(spark, path).agg(
-        F.sum(tx.n_lines(t) - 1).alias("newlines"),
-        F.sum(tx.n_words(t)).alias("words"),
-        F.sum(F.length(t).cast("bigint")).alias("chars"),
-    )
+    also = [F.sum(tx.n_words(F.col("line"))).alias("words"), F.sum(F.length("line").cast("bigint") + 1).alias("chars")]
+    proof = order.order_digest(files.scan_lines(spark, path, line_sep="\n"), "place", "line", also=also)
+    return proof.withColumnRenamed("rows", "newlines")
 
 
 @query(f"""WITH {_PIECES_SQL}

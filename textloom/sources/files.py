@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import universal_newlines, utf8_lossy
+from textloom.runtime import cut, running
 
 # Fixed value: the sentence an empty source may fall back to.
 DUMMY_TEXT = "Hello world. This is dummy text for testing."
@@ -74,6 +75,33 @@ def lines_of(files: DataFrame) -> DataFrame:
     return files.select("name", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
+def scan_lines(spark: SparkSession, path: str, pattern: str = "*.txt", line_sep: str | None = None) -> DataFrame:
+    """``(path, line_no, place, line)`` of text files, nested folders included: ``place`` numbers the lines of all files in path order.
+
+    A large file is read in splits, as many tasks as it has. Only line counts of splits are added up: a line's number in
+    its split is known where it is read, so lines are neither sorted nor moved. All kinds of newlines end a line unless
+    ``line_sep`` is given; invalid bytes are dropped.
+    """
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    raw = (reader.option("lineSep", line_sep) if line_sep else reader).text(path)
+    lines = cut(
+        raw.select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("_split"),
+            F.monotonically_increasing_id().alias("_id"),
+            utf8_lossy(F.col("value").cast("binary")).alias("line"),
+        ),
+        "lines",
+    )
+    # the lines of a split have consecutive ids
+    splits = lines.groupBy("path", "_split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    placed = running(splits, [], ["path", "_split"], {"_ahead": ("sum", F.col("_lines"))})
+    files = placed.groupBy("path").agg(F.min("_ahead").alias("_begin"))
+    numbered = lines.join(placed, ["path", "_split"]).join(files, "path")
+    at = F.col("_ahead") + F.col("_id") - F.col("_first")
+    return numbered.select("path", (at - F.col("_begin")).alias("line_no"), at.alias("place"), "line")
+
+
 def catalogue(spark: SparkSession, path: str, pattern: str = "*.pt", recursive: bool = False) -> DataFrame:
     """``(path, size_bytes, modified)`` of files; the content column is never read."""
     return (
