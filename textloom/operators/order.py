@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Parameters: a prime whose products fit 64 bits, a base for each of the two halves, and bits of a place per table.
-PRIME, BASES, BITS = 2**31 - 1, (48_271, 69_621), 14
+PRIME, BASES, BITS = 2**31 - 1, (48_271, 69_621), 8
 
 
 def _power_tables(base: int) -> list[Column]:
     tables = []
-    for level in range(3):
+    for level in range(6):
         step, listed = pow(base, 1 << BITS * level, PRIME), [1]
         for _ in range((1 << BITS) - 1):
             listed.append(listed[-1] * step % PRIME)
@@ -28,7 +28,7 @@ def _power_tables(base: int) -> list[Column]:
 
 
 def _power(tables: list[Column], place: Column) -> Column:
-    """The base to the power of ``place``, below 2**42: one factor for each 14 bits of it."""
+    """The base to the power of ``place``, below 2**48: one factor for each 8 bits of it."""
     power, prime = F.lit(1).cast("bigint"), F.lit(PRIME).cast("bigint")
     for level, table in enumerate(tables):
         digit = F.shiftright(place, BITS * level).bitwiseAND((1 << BITS) - 1).cast("int")
