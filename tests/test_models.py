@@ -186,3 +186,12 @@ def test_suites(spark):
     rows = {r.run: r for r in table.collect()}
     assert rows["bad"].error == "no weights" and rows["bad"].overall_score is None
     assert 0 <= rows["ok"].overall_score <= 1
+
+
+def test_greedy_paths_look_at_reached_contexts_only(spark):
+    docs = spark.createDataFrame([(list("abcabcabd"),), (list("xyzxyz"),), (["q", "a"],)], "tokens array<string>")
+    model = ngram.fit(docs)
+    asked = spark.createDataFrame([("q",), ("q",), ("nowhere",), (None,)], "context string")
+    every = {r.context: r.path for r in generation.greedy_paths(model, 9).collect()}
+    got = {r.context: r.path for r in generation.greedy_paths(model, 9, asked=asked).collect()}
+    assert got == {c: every[c] for c in "qabc"} and set("xyz") < set(every)

@@ -27,8 +27,26 @@ def next_context(context: Column, token: Column, order: int = 2) -> Column:
     return F.concat(kept, F.lit(ngram.GLUE), token)
 
 
-def greedy_paths(model: ngram.Model, length: int, fallback: bool = True) -> DataFrame:
-    """``(context, path)``: the greedy continuation of ``length`` tokens from each context.
+def _reachable(step: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """The rows of ``step`` that paths from ``asked(context)`` come to within ``length`` tokens.
+
+    Greedy paths soon run into each other and into a ring, so a few rounds find all of them; a round joins the
+    contexts that are new in it, each once.
+    """
+    known = frontier = cut(step.join(asked.filter("context IS NOT NULL").distinct(), "context", "left_semi"), "paths")
+    for _ in range(length - 1):
+        ahead = frontier.select(F.col("reached").alias("context")).distinct().join(known.select("context"), "context", "left_anti")
+        frontier = cut(step.join(ahead, "context", "left_semi"), "paths")
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier)
+    return cut(known, "paths")
+
+
+def greedy_paths(model: ngram.Model, length: int, fallback: bool = True, asked: DataFrame | None = None) -> DataFrame:
+    """``(context, path)``: the greedy continuation of ``length`` tokens from each context, or of ``asked(context)``.
+
+    With ``asked`` only the contexts that its paths reach are looked at.
 
     Greedy choice makes the contexts a function table, so paths are doubled: a path of
     2k tokens is a path of k tokens followed by the path from where it ends. That takes
@@ -50,6 +68,8 @@ def greedy_paths(model: ngram.Model, length: int, fallback: bool = True) -> Data
             ends.select("context", F.array(F.lit(common)).alias("path"), F.lit(common).alias("reached"))
         )
     step = cut(step, "paths")
+    if asked is not None:
+        step = _reachable(step, asked, length)
     result, doubled, left = None, step, length
     while left:
         if left & 1:
@@ -65,9 +85,8 @@ def greedy_paths(model: ngram.Model, length: int, fallback: bool = True) -> Data
 def _then(first: DataFrame, second: DataFrame) -> DataFrame:
     """Append to each path the path from where it ends.
 
-    Many paths may end in one context. Their ends are looked up through the distinct
-    ends, so the join key that is hot on the left meets one row on the right, and
-    adaptive execution may split it.
+    Many paths may end in one context. The join key that is hot on the left meets one row
+    on the right, and adaptive execution may split it.
     """
     after = second.select(
         F.col("context").alias("reached"), F.col("path").alias("_more"), F.col("reached").alias("_end")
@@ -120,8 +139,11 @@ def continue_greedily(
 ) -> DataFrame:
     """Add ``new_tokens`` to each prompt; prompt and new tokens stay apart."""
     asked = prompts.withColumn("context", last_context(F.col(tokens), model.order))
-    paths = greedy_paths(model, max_tokens)
     common = ngram.greedy_unigram(model)
+    starts = asked.select("context")
+    if common is not None and model.order == 2:
+        starts = starts.unionByName(starts.sparkSession.createDataFrame([(common,)], "context string"))
+    paths = cut(greedy_paths(model, max_tokens, asked=starts), "paths")
     # an unseen prompt end takes the most frequent token, then follows that token's path:
     # one row of at most max_tokens tokens, which becomes a constant
     start = paths.filter(F.col("context") == F.lit(common)).first()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.numbers import perplexity, scheduled_lr
+from textloom.runtime import position
 
 # Parameters of the queries over run logs: the tables hold short runs.
 WARMUP, TOTAL, BASE_LR = 10, 60, 1e-4
@@ -40,12 +41,26 @@ def code_and_books(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return docs.filter(code).select(name, "text"), docs.filter(~code).select(name, "text")
 
 
+#: Users with more than this share of all events are numbered over several tasks; there are at most 1 / share of them.
+LARGE_SHARE = 0.02
+
+
+def numbered(events: DataFrame, share: float = LARGE_SHARE) -> DataFrame:
+    """Add ``step`` (from 1), the place in the run of the user: a window for most users, range partitions for large ones."""
+    most = share * events.count()
+    large = [r.user_id for r in events.groupBy("user_id").count().filter((F.col("count") > most) & F.col("user_id").isNotNull()).collect()]
+    in_run = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    is_large = F.col("user_id").isin(large)
+    small = events.filter(~is_large | F.col("user_id").isNull()).withColumn("step", F.row_number().over(in_run).cast("bigint"))
+    if not large:
+        return small
+    placed = position(events.filter(is_large), ["user_id"], ["ts", "event_id"], "step")
+    return small.unionByName(placed.withColumn("step", F.col("step") + 1))
+
+
 def steps(spark: SparkSession, folder: str) -> DataFrame:
     """Events with their place ``step`` (from 1) in the run of their user."""
-    events = table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    # a run has as many rows as it has steps, so one task can hold it
-    in_run = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return events.withColumn("step", F.row_number().over(in_run).cast("bigint"))
+    return numbered(table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type", "value"))
 
 
 def log_columns() -> list:
