@@ -37,13 +37,17 @@ def text_key(text: Column) -> list[Column]:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` (binary or string) holds about ``most_bytes``; no row is split."""
+    """Cut batches so that ``column`` (binary or string) holds about ``most_bytes``; no row is split.
+
+    Python workers outlive their tasks, so what Arrow keeps for later is given back after each batch.
+    """
     for batch in batches:
         values = batch.column(column)
         size = values.nbytes or 1
         rows = max(1, int(batch.num_rows * most_bytes / size))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def output_schema(df: DataFrame, columns: Iterable[str], extra: str) -> str:
