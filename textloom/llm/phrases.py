@@ -1,7 +1,7 @@
 """Phrase collocations of each group of texts, by counts of neighbouring ids in tiles.
 
-Words are ranked by frequency, so that frequent ones have small ids. A pair of neighbouring
-ids falls in the tile ``(left // SIDE, right // SIDE)``: a tile with many pairs is counted into a
+Words are ranked by frequency, so that frequent ones have small numbers. A pair of neighbouring
+numbers falls in the tile ``(left // SIDE, right // SIDE)``: a tile with many pairs is counted into a
 dense square by ``bincount``, the pairs of all others as sorted coordinates. Frequent pairs are
 ranked like words, and the streams of their ids are counted in the same way: neighbouring
 pairs overlap by a word and make phrases of three words, and so on. A phrase is never more frequent
@@ -126,68 +126,70 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _block(block, grp, pa.concat_arrays(texts))
 
 
-_STREAM, _PAIRS = "block long, grp string, stream binary", "block long, grp string, left int, right int, n long"
+_STREAM = "block long, grp string, stream binary, ids array<long>"
+_PAIRS = "block long, grp string, left long, right long, n long"
 
 
-def _stream(block: pa.Scalar, grp: pa.Scalar, stream: np.ndarray) -> pa.RecordBatch:
-    """A block as ids, -1 for what has none."""
-    return pa.RecordBatch.from_pydict({"block": pa.array([block]), "grp": pa.array([grp]), "stream": pa.array([packed(stream)], pa.binary())})
+def _stream(block: pa.Scalar, grp: pa.Scalar, stream: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """A block as numbers of its own, -1 for what is rare, and the id of each number."""
+    columns = {"block": pa.array([block]), "grp": pa.array([grp]), "stream": pa.array([packed(stream)], pa.binary())}
+    return pa.RecordBatch.from_pydict(columns | {"ids": pa.array([ids], pa.list_(pa.int64()))})
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``block, grp, left, right, n``: distinct neighbours of each block's stream."""
+    """``block, grp, left, right, n``: distinct neighbours of each block's stream, by their ids."""
     for batch in batches:
-        for block, grp, stream in zip(*(batch.column(c).to_pylist() for c in ("block", "grp", "stream"))):
-            stream = unpacked(stream)
+        for block, grp, stream, ids in zip(*(batch.column(c) for c in ("block", "grp", "stream", "ids"))):
+            stream, ids = unpacked(stream.as_py()), np.asarray(ids.values)
             both = (stream[:-1] >= 0) & (stream[1:] >= 0)
             keys, counts = tile_counts(stream[:-1][both], stream[1:][both])
             for at in range(0, len(keys), 1 << 16):
                 part, n = keys[at : at + (1 << 16)], counts[at : at + (1 << 16)]
-                columns = [pa.array(np.full(len(part), block)), pa.array([grp]).take(pa.array(np.zeros(len(part), np.int8)))]
-                columns += [pa.array((part >> 32).astype(np.int32)), pa.array((part & 0xFFFFFFFF).astype(np.int32)), pa.array(n)]
+                columns = [pa.array(np.full(len(part), block.as_py())), pa.array([grp.as_py()]).take(pa.array(np.zeros(len(part), np.int8)))]
+                columns += [pa.array(ids[part >> 32]), pa.array(ids[part & 0xFFFFFFFF]), pa.array(n)]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "grp", "left", "right", "n"])
             pa.default_memory_pool().release_unused()
 
 
 def _recode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block, grp, codes, at, ids in zip(*(batch.column(c) for c in ("block", "grp", "codes", "places", "ids"))):
-            at, ids = np.asarray(at.values), np.asarray(ids.values)
+        for block, grp, codes, found in zip(*(batch.column(c) for c in ("block", "grp", "codes", "found"))):
+            at, known = (np.asarray(found.values.field(c)) for c in ("left", "id"))
             codes = unpacked(codes.as_py())
-            known = np.full(max(int(codes.max(initial=-1)), int(at.max(initial=-1))) + 2, -1, np.int64)
-            known[at] = ids
-            # -1 stands for the end of a piece and takes the last place, which no word has
-            yield _stream(block, grp, known[codes])
+            # words are numbered by frequency in the block already; the last number is that of the end of a piece, -1
+            ids = np.full(max(int(codes.max(initial=-1)), int(at.max(initial=-1))) + 2, -1, np.int64)
+            ids[at] = known
+            yield _stream(block, grp, np.where(ids[codes] >= 0, codes, -1), ids)
 
 
 def _recode_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block, grp, stream, keys, ids in zip(*(batch.column(c) for c in ("block", "grp", "stream", "places", "ids"))):
-            keys, ids = np.asarray(keys.values), np.asarray(ids.values)
-            order = np.argsort(keys)
-            keys, ids = np.append(keys[order], np.iinfo(np.int64).max), np.append(ids[order], -1)
-            stream = unpacked(stream.as_py()).astype(np.int64)
-            # a place without an id makes a negative number, which is no key
+        for block, grp, stream, ids, found in zip(*(batch.column(c) for c in ("block", "grp", "stream", "ids", "found"))):
+            left, right, known, total = (np.asarray(found.values.field(c)) for c in ("left", "right", "id", "total"))
+            ids, stream = np.asarray(ids.values), unpacked(stream.as_py()).astype(np.int64)
+            # from ids back to the numbers of this block
+            order = np.argsort(ids)
+            back = [order[np.searchsorted(ids[order], side)].astype(np.int64) for side in (left, right)]
+            # frequent pairs are ranked again: the most frequent of all texts has the smallest number
+            rank = np.argsort(-total, kind="stable")
+            keys = (back[0] << 32 | back[1])[rank]
+            by_key = np.argsort(keys)
+            keys = np.append(keys[by_key], np.iinfo(np.int64).max)
             pairs = np.where((stream[:-1] >= 0) & (stream[1:] >= 0), stream[:-1] << 32 | stream[1:], -1)
             at = np.searchsorted(keys, pairs)
-            yield _stream(block, grp, np.where(keys[at] == pairs, ids[at], -1))
+            yield _stream(block, grp, np.where(keys[at] == pairs, np.append(by_key, -1)[at], -1), known[rank])
 
 
 def _with_ids(blocks: DataFrame, found: DataFrame) -> DataFrame:
-    """Blocks with the ``places`` and ``ids`` of ``block, place, id`` rows."""
-    lists = found.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("found"))
-    none = F.array().cast("array<long>")
-    return blocks.join(lists, "block", "left").select(
-        *blocks.columns,
-        F.coalesce(F.col("found.place"), none).alias("places"),
-        F.coalesce(F.col("found.id").cast("array<long>"), none).alias("ids"),
-    )
+    """Blocks with ``found``, the ``left, right, id, total`` of their rows of ``found``."""
+    lists = found.groupBy("block").agg(F.collect_list(F.struct("left", "right", "id", "total")).alias("found"))
+    none = F.array().cast("array<struct<left: bigint, right: bigint, id: bigint, total: bigint>>")
+    return blocks.join(lists, "block", "left").select(*blocks.columns, F.coalesce("found", none).alias("found"))
 
 
 def _ranked(counts: DataFrame, order: list) -> DataFrame:
     """Add ``id``: the rank by count within the group."""
-    ranked = position(cut(counts, "phrase-counts"), ["grp"], [F.desc("n"), *order], "id")
-    return cut(ranked.withColumn("id", F.col("id").cast("int")), "phrases")
+    return cut(position(cut(counts, "phrase-counts"), ["grp"], [F.desc("n"), *order], "id"), "phrases")
 
 
 def phrase_levels(docs: DataFrame, group: Column, least: int, longest: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -210,13 +212,21 @@ def phrase_levels(docs: DataFrame, group: Column, least: int, longest: int) -> t
     none = F.array().cast("array<long>")
     levels = [frequent.select("grp", "id", "n", F.array("word").alias("words"), none.alias("heads"), none.alias("tails"))]
 
-    found = listed.join(frequent.select("grp", "word", "id"), ["grp", "word"]).select("block", "place", "id")
+    zero = F.lit(0).cast("long")
+    found = listed.join(frequent.select("grp", "word", "id"), ["grp", "word"]).select(
+        "block", F.col("place").cast("long").alias("left"), zero.alias("right"), "id", zero.alias("total")
+    )
     coded = _with_ids(blocks.select("block", "grp", "codes"), found)
+    same = Window.partitionBy("grp", "left", "right")
     for size in range(2, longest + 1):
         streams = cut(coded.mapInArrow(_recode_words if size == 2 else _recode_pairs, _STREAM), "phrase-streams")
         pairs = cut(streams.mapInArrow(_neighbours, _PAIRS), "phrase-pairs")
-        counts = pairs.groupBy("grp", "left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        ranked = _ranked(counts, ["left", "right"])
+        # the rows of a pair, at most one a block, meet once: for its count, and for an id that they share
+        totals_of = pairs.withColumn("row", F.monotonically_increasing_id()).withColumns(
+            {"total": F.sum("n").over(same), "id": F.min("row").over(same)}
+        )
+        known = cut(totals_of.filter(F.col("total") >= least).select("block", "grp", "left", "right", "id", "total"), "phrase-frequent")
+        ranked = known.groupBy("grp", "left", "right").agg(F.first("id").alias("id"), F.first("total").alias("n"))
         shorter = levels[-1]
         head = shorter.select("grp", F.col("id").alias("left"), "words", F.concat("heads", F.array("n")).alias("heads"))
         tail = shorter.select(
@@ -227,9 +237,7 @@ def phrase_levels(docs: DataFrame, group: Column, least: int, longest: int) -> t
             cut(phrases.select("grp", "id", "n", F.concat("words", F.array("last")).alias("words"), "heads", "tails", "left", "right"), "phrases")
         )
         if size < longest:
-            key = F.shiftleft(F.col("left").cast("long"), 32).bitwiseOR(F.col("right"))
-            known = pairs.join(ranked.select("grp", "left", "right", "id"), ["grp", "left", "right"])
-            coded = _with_ids(streams.select("block", "grp", "stream"), known.select("block", key.alias("place"), "id"))
+            coded = _with_ids(streams, known.select("block", "left", "right", "id", "total"))
     return totals, levels
 
 
