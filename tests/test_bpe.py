@@ -167,3 +167,32 @@ def test_vocabulary_lookup(spark):
     rows = vocabulary.lookup(docs.select(F.explode("tokens").alias("token")), vocab)
     assert sorted(r.id for r in rows.collect()) == [0, 4, 4, 5]
     assert [r.token for r in vocabulary.spelled(rows.select("id").distinct().orderBy("id"), vocab).orderBy("id").collect()] == [None, "b", "a"]
+
+
+def test_8000_tokens_of_all_documents_equal_the_library(spark):
+    import json
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    counts = pretokens.word_counts(docs)
+    ours, theirs = bpe.train(counts, pieces=20_000), library(texts.values(), "byte", 8000)
+    model = json.loads(theirs.to_str())["model"]
+    assert [t for t, _ in sorted(model["vocab"].items(), key=lambda kv: kv[1])] == list(ours.vocab) and len(ours.vocab) == 8000
+    assert [tuple(m) for m in model["merges"]] == list(ours.merges)
+    # few codes: most distinct words are rare, most occurrences are not
+    codes = bpe.frequent_codes(counts, ours, size=300)
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "☃ quux the the")], "doc_id long, text string")
+    for r in bpe.encode(docs.unionByName(odd), ours, codes=codes).select("doc_id", "text", "ids").collect():
+        assert r.ids == (None if r.text is None else theirs.encode(r.text).ids)
+
+
+def test_frequent_words_stay_in_the_jvm(spark):
+    tokenizer = bpe.Tokenizer((*bpe.SPECIALS, "a", "b", "ab"), (("a", "b"),))
+    counts = spark.createDataFrame([("ab", 9), ("b", 3), ("a", 2)], "word string, n long")
+    docs = spark.createDataFrame([("ab b",)], "text string")
+    encoded = bpe.encode(docs, tokenizer, codes=bpe.frequent_codes(counts, tokenizer, size=1))
+    text = encoded._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in text.splitlines() if "EvalPython" in x)
+    # what Python gets is null for a known word
+    assert "_rare" in line or "zip_with" in text
+    assert encoded.first().ids == [6, 0, 5]
