@@ -10,6 +10,7 @@ import corpus_pipeline
 from tests.compare import difference, duck
 from tests.llm import odd
 from tests.llm.test_nearcopies import classes
+from textloom.llm import simhash
 from textloom.llm.queries import ORACLES, QUERIES
 from textloom.runtime import cut
 
@@ -61,3 +62,17 @@ def test_the_library_does_without():
     root = str(Path(corpus_pipeline.__file__).parent)
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
     assert out.stdout.split()[1] == "False" and int(out.stdout.split()[0]) > 50, out.stderr
+
+
+def test_near_copies_are_those_of_the_simhash_query_and_of_the_similarity(spark):
+    # seven words again and again: the same majorities, but most shingles stand in one text only
+    body = " ".join(["one two three four five six seven"] * 60)
+    ends = [" ".join(f"{x}{i}" for i in range(20)) for x in "uv"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    made = [(10**9 + i, f"{body} {end}", "en", "src1", 0) for i, end in enumerate(ends)]
+    docs = cut(docs.unionByName(spark.createDataFrame(made, docs.schema)), "start")
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    kept = {r.doc_id for r in stage(spark, docs, FOLDER).collect()}
+    of_op2 = {r.doc_id: r.component for r in simhash.near_duplicates(docs, words=4, radius=4).collect()}
+    assert len({of_op2[i] for i in kept}) == len(kept)
+    assert len(set(classes([f"{body} {end}" for end in ends], 0.8))) == 2 and kept & {10**9, 10**9 + 1} == {10**9}

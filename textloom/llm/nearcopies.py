@@ -10,6 +10,9 @@ keys whose texts are not all in one class of verified links are looked at again,
 compared. Keys of more than ``BLOCK`` bytes or ``MEMBERS`` texts are split into blocks, every pair of which is a task of its
 own; comparisons with one text are split by ``MEMBERS``, too. Connected components are those of verified links only.
 
+With ``radius`` the links of :mod:`textloom.llm.simhash` come first: fingerprints of shingles of ``print_words`` words that differ
+in so many bits or fewer link their texts. The verified links then join what such a radius misses.
+
 Texts of equal words are looked at once, so repeated rows and copies cost nothing. Null, empty and blank texts are copies
 of each other; rows without key are rows like others. An empty table gives an empty result; other columns are not
 looked at, whatever their names.
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import slices, text_key
 from textloom.llm.components import components
-from textloom.llm.simhash import first_of_each
+from textloom.llm.simhash import first_of_each, fingerprint
+from textloom.llm.simhash import links as print_links
 from textloom.runtime import cut, shuffle_width
 
 BANDS, ROWS = 20, 5
@@ -147,24 +151,45 @@ def _links_in_keys(members: DataFrame, words: int, least: float) -> DataFrame:
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
-def classed(docs: DataFrame, words: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _links_of_prints(distinct: DataFrame, radius: int) -> DataFrame:
+    """``(a, b)``: links between ``f, print`` whose fingerprints differ in ``radius`` bits or fewer."""
+    heads = cut(distinct.groupBy("print").agg(F.min("f").alias("head")), "print-heads")
+    equal = distinct.join(heads, "print").filter("f <> head").select(F.col("f").alias("a"), F.col("head").alias("b"))
+    near = print_links(heads.select(F.col("print").alias("f")), radius)
+    for side in ("a", "b"):
+        near = near.join(heads.withColumnRenamed("print", side), side).drop(side).withColumnRenamed("head", f"{side}_head")
+    return equal.unionByName(near.select(F.col("a_head").alias("a"), F.col("b_head").alias("b")))
+
+
+def classed(
+    docs: DataFrame,
+    words: int = 5,
+    least: float = 0.8,
+    key: str = "doc_id",
+    text: str = "text",
+    radius: int | None = None,
+    print_words: int = 4,
+) -> DataFrame:
     """``(key, t1, t2, f, root)``: ``root`` is null for documents alone in their class, ``f`` a hash of the words."""
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *text_key(F.col(text)))
-    schema = f"key {named.schema['key'].dataType.simpleString()}, t1 bigint, t2 bigint, f bigint, keys array<bigint>"
+    schema = f"key {named.schema['key'].dataType.simpleString()}, t1 bigint, t2 bigint, f bigint, print bigint, keys array<bigint>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [shingles(t.as_py(), words) for t in batch.column("text")]
+            texts = [t.as_py() for t in batch.column("text")]
+            found = [shingles(t, words) for t in texts]
             keys = pa.array([bands(s) for _, s in found], pa.list_(pa.int64()))
             f = pa.array([_signed(n) for n, _ in found], pa.int64())
+            printed = pa.array([None if radius is None else _signed(fingerprint(t, print_words)) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("key", "t1", "t2")), f, keys], ["key", "t1", "t2", "f", "keys"]
+                [*(batch.column(c) for c in ("key", "t1", "t2")), f, printed, keys], ["key", "t1", "t2", "f", "print", "keys"]
             )
 
     prints = cut(named.mapInArrow(work, schema), "band-keys")
-    # one row of each word list stands for the others
+    # one row of each word list stands for the others; its words give its fingerprint, too
     row = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t1", "t2")).alias("row")
-    distinct = cut(prints.groupBy("f").agg(F.first("keys").alias("keys"), row, F.count(F.lit(1)).alias("n")), "word-lists")
+    lists = prints.groupBy("f").agg(F.first("keys").alias("keys"), F.first("print").alias("print"), row, F.count(F.lit(1)).alias("n"))
+    distinct = cut(lists, "word-lists")
     keyed = cut(distinct.select("f", F.posexplode("keys").alias("m", "band")), "bands")
     shared = keyed.groupBy("m", "band").agg(F.min("f").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut(shared.drop("n"), "shared-bands")
@@ -179,7 +204,10 @@ def classed(docs: DataFrame, words: int = 5, least: float = 0.8, key: str = "doc
     texts = cut(texts, "candidate-texts")
 
     pairs = cut(held.filter("f <> least").select(F.col("f").alias("a"), F.col("least").alias("b")).distinct(), "least-pairs")
-    links = cut(_links_to_least(pairs, texts, words, least), "links")
+    links = _links_to_least(pairs, texts, words, least)
+    if radius is not None:
+        links = links.unionByName(_links_of_prints(distinct.select("f", "print"), radius))
+    links = cut(links, "links")
     near = components(links).withColumnRenamed("node", "f")
 
     # a key of two texts has no other pair
@@ -210,6 +238,14 @@ def classed(docs: DataFrame, words: int = 5, least: float = 0.8, key: str = "doc
     return prints.drop("keys").join(member.join(sizes, "root").select("f", "root"), "f", "left").select("key", "t1", "t2", "f", "root")
 
 
-def dedup(docs: DataFrame, words: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(
+    docs: DataFrame,
+    words: int = 5,
+    least: float = 0.8,
+    key: str = "doc_id",
+    text: str = "text",
+    radius: int | None = None,
+    print_words: int = 4,
+) -> DataFrame:
     """``docs`` with one row of each class: the one with the smallest key, rows without one last."""
-    return first_of_each(docs, cut(classed(docs, words, least, key, text), "classes"), key, text)
+    return first_of_each(docs, cut(classed(docs, words, least, key, text, radius, print_words), "classes"), key, text)
