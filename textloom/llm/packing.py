@@ -29,13 +29,18 @@ from textloom.llm.tokens import encoder, ended
 from textloom.runtime import cut
 
 
+#: Bytes of text encoded at a time.
+SLICE = 2 << 20
+
+
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, piece, start, length, ids)``: the pieces of each document; ``ids`` are unsigned 32-bit little-endian."""
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids binary"
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for batch in slices(batches, text):
+        # words, ids and places of a slice take many times its text
+        for batch in slices(batches, text, SLICE):
             flat, edges = ended(*encode(batch.column(text)), end_id)
             counts = -(-np.diff(edges) // room)
             row = np.repeat(np.arange(batch.num_rows), counts)
