@@ -26,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import slices
+from textloom.llm.common import give_back, slices
 from textloom.runtime import cut, position
 
 #: Ids a side of a tile; pairs from which a tile is counted as a dense square.
 SIDE, DENSE = 1024, 1 << 17
 BLOCK_BYTES = 6 << 20
+#: Neighbours of a stream that are looked up at a time.
+STRETCH = 1 << 16
 
 # The ends of pieces, and the white space between words (a tab and a blank).
 ENDS = r"[.,;:!?\n-\r]+"
@@ -97,9 +99,8 @@ def _block(block: int, grp: str | None, texts: pa.Array) -> pa.RecordBatch:
             "codes": pa.array([packed(place[codes])], pa.binary()),
         }
     )
-    del texts, coded, words
-    # a worker lives on after its task; Arrow would keep what the largest block took
-    pa.default_memory_pool().release_unused()
+    del texts, coded, words, codes, order, place
+    give_back()
     return built
 
 
@@ -148,7 +149,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 columns = [pa.array(np.full(len(part), block.as_py())), pa.array([grp.as_py()]).take(pa.array(np.zeros(len(part), np.int8)))]
                 columns += [pa.array(ids[part >> 32]), pa.array(ids[part & 0xFFFFFFFF]), pa.array(n)]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "grp", "left", "right", "n"])
-            pa.default_memory_pool().release_unused()
+            del stream, ids, both, keys, counts
+            give_back()
 
 
 def _recode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,6 +162,7 @@ def _recode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             ids = np.full(max(int(codes.max(initial=-1)), int(at.max(initial=-1))) + 2, -1, np.int64)
             ids[at] = known
             yield _stream(block, grp, np.where(ids[codes] >= 0, codes, -1), ids)
+            give_back()
 
 
 def _recode_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +177,16 @@ def _recode_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             rank = np.argsort(-total, kind="stable")
             keys = (back[0] << 32 | back[1])[rank]
             by_key = np.argsort(keys)
-            keys = np.append(keys[by_key], np.iinfo(np.int64).max)
-            pairs = np.where((stream[:-1] >= 0) & (stream[1:] >= 0), stream[:-1] << 32 | stream[1:], -1)
-            at = np.searchsorted(keys, pairs)
-            yield _stream(block, grp, np.where(keys[at] == pairs, np.append(by_key, -1)[at], -1), known[rank])
+            keys, numbers = np.append(keys[by_key], np.iinfo(np.int64).max), np.append(by_key, -1)
+            out = np.empty(max(0, len(stream) - 1), np.int32)
+            for a in range(0, len(out), STRETCH):
+                first, second = stream[a : a + STRETCH], stream[a + 1 : a + STRETCH + 1]
+                first = first[: len(second)]
+                pairs = np.where((first >= 0) & (second >= 0), first << 32 | second, -1)
+                at = np.searchsorted(keys, pairs)
+                out[a : a + len(pairs)] = np.where(keys[at] == pairs, numbers[at], -1)
+            yield _stream(block, grp, out, known[rank])
+            give_back()
 
 
 def _with_ids(blocks: DataFrame, found: DataFrame) -> DataFrame:
