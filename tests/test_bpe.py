@@ -196,3 +196,37 @@ def test_frequent_words_stay_in_the_jvm(spark):
     # what Python gets is null for a known word
     assert "_rare" in line or "zip_with" in text
     assert encoded.first().ids == [6, 0, 5]
+
+
+def test_a_round_begins_with_the_pairs_that_the_last_one_could_hold(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = {"".join(rnd.choices("abcdefgh", weights=range(8, 0, -1), k=rnd.randrange(3, 9))): rnd.randrange(1, 60) for _ in range(1500)}
+    counts = spark.createDataFrame(list(words.items()), "word string, n bigint")
+    tried = {"rounds": 0, "tables": 0, "largest": 0}
+
+    def ranked(words, count=bpe.merging.pair_counts):
+        tried["rounds"] += 1
+        return count(words)
+
+    def written(df, label, cut=bpe.cut):
+        out = cut(df, label)
+        tried["tables"] += 1
+        tried["largest"] = max(tried["largest"], out.count())
+        return out
+
+    whole = bpe.train(counts, 200, scheme="word")
+    monkeypatch.setattr(bpe.merging, "pair_counts", ranked)
+    monkeypatch.setattr(bpe, "cut", written)
+    assert bpe.train(counts, 200, scheme="word", pieces=150) == whole
+    assert tried["rounds"] > 3 and tried["largest"] <= 151
+    assert tried["tables"] <= 2 * tried["rounds"] + 8
+    print(tried)
+
+
+def test_lists_of_words_are_encoded_in_parts(spark, monkeypatch, texts):
+    docs = spark.createDataFrame([*enumerate(texts), (-1, None)], "doc_id int, text string").coalesce(1)
+    tokenizer = bpe.train_on_texts(docs, vocab_size=300)
+    whole = bpe.encode(docs, tokenizer).orderBy("doc_id").collect()
+    assert len(whole) == len(texts) + 1 and whole[0].ids is None
+    monkeypatch.setattr(bpe, "HANDED", 500)
+    assert bpe.encode(docs, tokenizer).orderBy("doc_id").collect() == whole

@@ -57,9 +57,11 @@ def _symbol_id(char: str) -> int:
 
 
 def _round(
-    words: DataFrame, vocabulary: merging.Vocabulary, min_frequency: int, candidates: int, pieces: int, symbols_held: int
-) -> tuple[np.ndarray, dict[str, str]] | None:
-    """One round of merges: the pairs looked at and what becomes of each piece; None when no pair is left."""
+    words: DataFrame, vocabulary: merging.Vocabulary, min_frequency: int, candidates: int, pieces: int, symbols_held: int, fitted: int
+) -> tuple[np.ndarray, dict[str, str], int] | None:
+    """One round of merges: the pairs looked at, what becomes of each piece, and the pairs to begin with in the next
+    round; None when no pair is left. ``fitted`` is that number from the round before.
+    """
     ranked = [
         (r.pair, r.n)
         for r in merging.pair_counts(words)
@@ -70,7 +72,7 @@ def _round(
     ]
     if not ranked:
         return None
-    looked_at = min(candidates, len(ranked))
+    looked_at = min(candidates, len(ranked), fitted)
     while True:
         # pairs as frequent as the first one left out are left out, too
         floor = ranked[looked_at][1] + 1 if looked_at < len(ranked) else min_frequency
@@ -78,15 +80,18 @@ def _round(
         # of nothing but ties the first is merged alone: it is the best of all
         most = None if frequent else 1
         keys = np.array(sorted(frequent or [ranked[0][0]]), np.int64)
-        found = cut(merging.piece_counts(words, keys), "bpe-pieces")
+        # one more than may be held tells that there are too many
+        found = merging.piece_counts(words, keys)
+        found = cut(found if most else found.limit(pieces + 1), "bpe-pieces")
         size = found.agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.length("piece")).alias("symbols")).first()
         # the stretches of a single pair are that pair, or runs of one symbol
         if most or (size.pieces <= pieces and size.symbols <= symbols_held):
             rows = [(r.piece, r.n) for r in found.collect()]
             break
-        looked_at //= 4
+        looked_at //= 2
+    room = min(pieces // max(1, size.pieces), symbols_held // max(1, size.symbols or 0))
     left = merging.merge_pieces([([_symbol_id(c) for c in p], n) for p, n in rows], vocabulary, floor if not most else ranked[0][1], most)
-    return keys, {p: "".join(map(_stand_in, parts)) for (p, _), parts in zip(rows, left)}
+    return keys, {p: "".join(map(_stand_in, parts)) for (p, _), parts in zip(rows, left)}, max(1, looked_at) * max(1, min(room, 16))
 
 
 def train(
@@ -104,7 +109,8 @@ def train(
 
     Merges are made in rounds, see :mod:`textloom.operators.merging`. A round looks at up to
     ``candidates`` pairs, fewer if their words fall into more than ``pieces`` distinct pieces or
-    ``symbols_held`` symbols, which bounds the driver's part; more words then mean more rounds. Each round writes
+    ``symbols_held`` symbols, which bounds the driver's part; more words then mean more rounds. A round begins with as
+    many pairs as the last one could hold, or more if there was room. Each round writes
     the words it changed to the shared folder and removes the older table.
     """
     spark = counts.sparkSession
@@ -124,12 +130,14 @@ def train(
     spelled = "".join(vocabulary.tokens[len(specials):])
     codes = "".join(_stand_in(i) for i in range(len(specials), len(vocabulary.tokens)))
     words = base.select(F.translate("signs", spelled, codes).alias("s"), "n").filter(F.length("s") > 1)
+    fitted = candidates
     while not vocabulary.full:
-        done = _round(words, vocabulary, min_frequency, candidates, pieces, symbols_held)
+        done = _round(words, vocabulary, min_frequency, candidates, pieces, symbols_held, fitted)
         if done is None or vocabulary.full:
             break
+        *merged, fitted = done
         fresh = scratch_path(spark, "bpe-words")
-        merging.exchanged(words, *done).write.parquet(fresh)
+        merging.exchanged(words, *merged).write.parquet(fresh)
         remove_path(spark, path)
         path, words = fresh, spark.read.schema("s string, n bigint").parquet(fresh)
 
@@ -185,6 +193,10 @@ def _encoder(tokenizer: Tokenizer, remember: int = 1 << 18):
     return encode
 
 
+#: Bytes of words of a batch that are encoded at a time.
+HANDED = 4 << 20
+
+
 def _ids_udf(tokenizer: Tokenizer):
     """Lists of sign words to lists of their ids; a word is looked up once a batch, a null stays null."""
     shared = SparkSession.active().sparkContext.broadcast(tokenizer)
@@ -192,11 +204,17 @@ def _ids_udf(tokenizer: Tokenizer):
     @F.arrow_udf("array<array<int>>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = _encoder(shared.value)
-        for rows in batches:
-            words = rows.values.dictionary_encode()
+
+        def coded(rows: pa.Array) -> pa.Array:
+            edges = np.asarray(rows.offsets)
+            words = rows.values.slice(int(edges[0]), int(edges[-1] - edges[0])).dictionary_encode()
             lists = pa.array([encode(w) for w in words.dictionary.to_pylist()], pa.list_(pa.int32()))
-            offsets = pa.array(np.asarray(rows.offsets))
-            yield pa.ListArray.from_arrays(offsets, lists.take(words.indices), mask=rows.is_null())
+            return pa.ListArray.from_arrays(pa.array(edges - edges[0]), lists.take(words.indices), mask=rows.is_null())
+
+        for rows in batches:
+            step = max(1, int(len(rows) * HANDED / max(rows.nbytes, 1)))
+            parts = [coded(rows.slice(at, step)) for at in range(0, len(rows), step)] or [coded(rows)]
+            yield pa.concat_arrays(parts)
 
     return ids
 
