@@ -94,3 +94,14 @@ def test_continuations_go_on_after_unknown_words(spark, model):
     fitted = whole.fit_whole(model)
     first, again = ({r.key: r.new_tokens for r in whole.continue_sampled(prompts, fitted, "key", 6, seed=3).collect()} for _ in range(2))
     assert first == again and all(len(v) == 6 and None not in v for v in first.values())
+
+
+def test_a_draw_shuffles_the_shapes_of_its_contexts_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, [f"w{i}", f"w{i + 1}", "x"]) for i in range(300)], "doc_id int, tokens array<string>")
+    fitted = whole.fit_whole(ngram.fit(docs), 0.8, 50, 0.9)
+    asked = spark.createDataFrame([(k, f"w{k}") for k in range(3)] + [(3, None), (4, "never")], "k int, context string")
+    needed = whole._asked_shapes(asked, fitted.shapes)
+    assert {r.context for r in needed.collect()} == {"w0", "w1", "w2"}
+    few = {r.k: r.token for r in whole.sample_next(asked, fitted, "k", 5).collect()}
+    monkeypatch.setattr(whole, "LISTED", 2)
+    assert few == {r.k: r.token for r in whole.sample_next(asked, fitted, "k", 5).collect()} and len(few) == 5

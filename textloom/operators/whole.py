@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.numbers import draw
-from textloom.operators.generation import CUT_EVERY, last_context, next_context
+from textloom.operators.generation import last_context, next_context
 from textloom.operators.ngram import HOT_SHARE, GLUE, Model
 from textloom.operators.sampling import MIN_TEMPERATURE, keep_top_k
 from textloom.runtime import cut, position, salted_lookup
@@ -155,9 +155,21 @@ def _halved(size: Column, beyond) -> Column:
     return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), size.cast("int").alias("hi")), half, lambda s: s["lo"])
 
 
+#: Contexts of a step that are listed to every task.
+LISTED = 1_000_000
+
+
+def _asked_shapes(asked: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The shapes of the contexts of ``asked``, found without a shuffle of all shapes; all of them for more than ``LISTED``."""
+    contexts = asked.select("context").filter("context IS NOT NULL").distinct()
+    if contexts.limit(LISTED + 1).count() > LISTED:
+        return shapes
+    return shapes.join(F.broadcast(contexts), "context", "left_semi")
+
+
 def sample(asked: DataFrame, whole: Whole, u: Column) -> DataFrame:
     """Add the drawn ``token`` to each row of ``asked(…, context)``; null only where the vocabulary is empty."""
-    met = asked.withColumn("_x", u).join(whole.shapes, "context", "left")
+    met = asked.withColumn("_x", u).join(_asked_shapes(asked, whole.shapes), "context", "left")
     unknown = F.col("even").isNull()
     rest, spread = F.coalesce("rest", F.lit(0.0)), F.coalesce("spread", F.lit(whole.alone))
     x = F.col("_x")
@@ -181,11 +193,12 @@ def sample_next(asked: DataFrame, whole: Whole, key: str, seed: int = 0) -> Data
 def continue_sampled(prompts: DataFrame, whole: Whole, key: str, max_tokens: int = 50, seed: int = 0, tokens: str = "tokens") -> DataFrame:
     """Add ``new_tokens``, drawn one at a time; the draw depends on seed, key and step.
 
-    Only ``(key, context, new_tokens)`` goes through the loop, and the lineage is cut every few rounds.
+    Only ``(key, context, new_tokens)`` goes through the loop. Each step is written, as the next one lists its contexts first.
     """
     state = prompts.select(
         key, last_context(F.col(tokens), whole.order).alias("context"), F.array().cast("array<string>").alias("new_tokens")
     )
+    state = cut(state, "continued")
     for step in range(max_tokens):
         drawn = sample(state, whole, draw(seed, F.col(key), F.lit(step)))
         state = drawn.select(
@@ -193,6 +206,5 @@ def continue_sampled(prompts: DataFrame, whole: Whole, key: str, max_tokens: int
             next_context(F.col("context"), F.col("token"), whole.order).alias("context"),
             F.concat("new_tokens", F.array("token")).alias("new_tokens"),
         )
-        if (step + 1) % CUT_EVERY == 0:
-            state = cut(state, "continued")
+        state = cut(state, "continued")
     return prompts.join(state.select(key, "new_tokens"), key)
