@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,14 @@ def test_odd_rows_and_empty_tables(spark):
     want = brute([(r[2], r[1]) for r in odd.rows()])
     assert want and {tuple(r) for r in phrases.collocations(docs).collect()} == want
     assert phrases.collocations(odd.nothing(spark)).count() == 0
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 7, 1 << 16])
+def test_pairs_of_a_stream_are_found_in_any_stretch(monkeypatch, stretch):
+    monkeypatch.setattr(phrases, "STRETCH", stretch)
+    stream, ids = np.array([0, 1, 2, -1, 1, 2, 0, 1, 2, 2]), [40, 50, 60]
+    found = [{"left": a, "right": b, "id": 100 + k, "total": n} for k, (a, b, n) in enumerate([(40, 50, 2), (50, 60, 3), (60, 60, 1)])]
+    batch = pa.RecordBatch.from_pylist([{"block": 1, "grp": "en", "stream": phrases.packed(stream), "ids": ids, "found": found}])
+    (out,) = phrases._recode_pairs(iter([batch]))
+    numbers, names = phrases.unpacked(out.column("stream")[0].as_py()), out.column("ids")[0].as_py()
+    assert [None if n < 0 else names[n] for n in numbers] == [100, 101, None, None, 101, None, 100, 101, 102]
