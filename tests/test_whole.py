@@ -105,3 +105,11 @@ def test_a_draw_shuffles_the_shapes_of_its_contexts_only(spark, monkeypatch):
     few = {r.k: r.token for r in whole.sample_next(asked, fitted, "k", 5).collect()}
     monkeypatch.setattr(whole, "LISTED", 2)
     assert few == {r.k: r.token for r in whole.sample_next(asked, fitted, "k", 5).collect()} and len(few) == 5
+
+
+@pytest.mark.parametrize("rule", RULES)
+def test_a_list_needs_no_places(spark, model, rule):
+    drawn, plain = whole.fit_whole(model, *rule), whole.fit_whole(model, *rule, draws=False)
+    assert plain.vocabulary is None and "seen" not in plain.shapes.columns
+    assert sorted(map(tuple, whole.listed(plain).collect()), key=str) == sorted(map(tuple, whole.listed(drawn).collect()), key=str)
+    assert "Join" not in plain.shapes._jdf.queryExecution().executedPlan().toString()

@@ -28,13 +28,13 @@ from textloom.runtime import cut, position, salted_lookup
 
 @dataclass(frozen=True)
 class Whole:
-    """``shapes``, one row a context, and ``vocabulary(token, place)``; both written tables.
+    """``shapes``, one row a context, and ``vocabulary(token, place)``; both written tables, if it is for draws.
 
     ``alone`` is the number of tokens that a context without counts draws from.
     """
 
     shapes: DataFrame
-    vocabulary: DataFrame
+    vocabulary: DataFrame | None
     alone: int
     order: int
 
@@ -62,7 +62,7 @@ def nucleus_alone(tokens: int, top_p: float, nucleus: str) -> int:
 
 def shapes(
     model: Model,
-    tokens: DataFrame,
+    tokens: DataFrame | None,
     temperature: float = 1.0,
     top_k: int = 50,
     top_p: float = 1.0,
@@ -70,7 +70,8 @@ def shapes(
 ) -> DataFrame:
     """One row a context: ``tokens``, ``low`` (where each begins), ``each`` (its probability), ``rest`` (where the
     residual begins), ``spread`` (tokens the residual stands for), ``even`` (it stands for all, not for the unseen
-    ones) and ``seen`` (places of the seen tokens, where the residual needs them).
+    ones) and ``seen`` (places of the seen tokens, where the residual needs them). Only draws look at places: without
+    ``tokens``, the vocabulary, there is no ``seen``.
 
     Top-k keeps ties, so unseen tokens stay where fewer than ``top_k`` are seen. ``strict`` drops the token that
     crosses ``top_p`` and spreads the mass evenly over the vocabulary when nothing is left.
@@ -78,10 +79,12 @@ def shapes(
     if nucleus not in ("standard", "strict"):
         raise ValueError(f"unknown nucleus rule {nucleus!r}")
     size, heat = float(model.vocabulary), 1.0 / max(temperature, MIN_TEMPERATURE)
-    stats = model.counts.groupBy("context").agg(F.count(F.lit(1)).alias("_seen"))
-    hot = model.counts.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    share = HOT_SHARE * max(1, model.observed)
-    placed = salted_lookup(keep_top_k(model.counts, top_k, logit="n"), tokens, ["token"], hot.filter(F.col("n") >= share), ["context"])
+    placed, places = keep_top_k(model.counts.filter("context IS NOT NULL"), top_k, logit="n"), []
+    if tokens is not None:
+        hot = model.counts.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        share = HOT_SHARE * max(1, model.observed)
+        placed = salted_lookup(placed, tokens, ["token"], hot.filter(F.col("n") >= share), ["context"])
+        places = [F.array_sort(F.collect_list(F.col("place").cast("int"))).alias("_places")]
 
     # one shuffle by context; windows and lists use it
     order = Window.partitionBy("context").orderBy(F.desc("n"), "token")
@@ -94,10 +97,12 @@ def shapes(
         F.array_sort(F.collect_list(F.struct("_i", "token", "_w", "_before"))).alias("_rows"),
         F.sum("_w").alias("_mass"),
         F.max("n").alias("_most"),
-        F.array_sort(F.collect_list(F.col("place").cast("int"))).alias("_places"),
-    ).join(stats, "context")
+        *places,
+    )
 
-    left = (F.lit(size) - F.col("_seen")) if top_k <= 0 else F.when(F.col("_seen") < top_k, size - F.col("_seen")).otherwise(0.0)
+    # a context with fewer than top_k rows has kept all it has seen
+    kept_all = F.lit(top_k <= 0) | (F.size("_rows") < top_k)
+    left = F.when(kept_all, size - F.size("_rows")).otherwise(0.0)
     unseen = F.exp(F.log(model.alpha / (F.col("_most") + model.alpha)) * heat)
     rows = rows.withColumn("_left", left).withColumn("_u", unseen).withColumn("_z", F.col("_mass") + F.col("_left") * F.col("_u"))
     z, p = F.col("_z"), top_p
@@ -124,15 +129,18 @@ def shapes(
         F.when(F.col("even"), size).otherwise(F.col("_spread")).cast("long").alias("spread"),
         F.when(F.col("even"), 1.0 / max(size, 1.0)).when(F.col("_spread") > 0, F.col("_u") / F.col("_total")).alias("each_unseen"),
         "even",
-        F.when((F.col("_spread") > 0) & ~F.col("even"), F.col("_places")).alias("seen"),
+        *[F.when((F.col("_spread") > 0) & ~F.col("even"), F.col("_places")).alias("seen") for _ in places],
     )
 
 
-def fit_whole(model: Model, temperature: float = 1.0, top_k: int = 50, top_p: float = 1.0, nucleus: str = "standard") -> Whole:
-    """The shapes of all contexts; see :func:`shapes`."""
-    tokens = vocabulary(model)
-    shaped = cut(shapes(model, tokens, temperature, top_k, top_p, nucleus), "shapes")
-    return Whole(shaped, tokens, nucleus_alone(model.vocabulary, top_p, nucleus), model.order)
+def fit_whole(
+    model: Model, temperature: float = 1.0, top_k: int = 50, top_p: float = 1.0, nucleus: str = "standard", draws: bool = True
+) -> Whole:
+    """The shapes of all contexts; see :func:`shapes`. Without ``draws`` they can be listed, and no token gets a place."""
+    tokens = vocabulary(model) if draws else None
+    shaped = shapes(model, tokens, temperature, top_k, top_p, nucleus)
+    # a list reads them once
+    return Whole(cut(shaped, "shapes") if draws else shaped, tokens, nucleus_alone(model.vocabulary, top_p, nucleus), model.order)
 
 
 def listed(whole: Whole) -> DataFrame:

@@ -150,8 +150,8 @@ SELECT context, NULL, round(ln(CASE WHEN even THEN 1 / v ELSE u / whole END), 6)
 FROM rests, size WHERE even OR spread > 0"""
 
 
-def _whole(spark, folder, nucleus="standard"):
-    return whole.fit_whole(_model(spark, folder), TEMPERATURE, TOP_K, TOP_P, nucleus)
+def _whole(spark, folder, nucleus="standard", draws=True):
+    return whole.fit_whole(_model(spark, folder), TEMPERATURE, TOP_K, TOP_P, nucleus, draws)
 
 
 def _listed(kept):
@@ -162,13 +162,13 @@ def _listed(kept):
 @query(f"WITH {_model_sql()}, {_STANDARD_SQL} {_LISTED_SQL}")
 def topk_topp(spark, folder):
     """Kept tokens of each context; those that were never seen after it are one row."""
-    return _listed(_whole(spark, folder))
+    return _listed(_whole(spark, folder, draws=False))
 
 
 @query(f"WITH {_model_sql()}, {_STRICT_SQL} {_LISTED_SQL}")
 def topk_topp_strict(spark, folder):
     """The nucleus rule without a shift: the crossing token goes, too, and with nothing left all tokens are as likely."""
-    return _listed(_whole(spark, folder, "strict"))
+    return _listed(_whole(spark, folder, "strict", draws=False))
 
 
 # the tokens unseen after a context are addressed by their place in the order of the vocabulary
