@@ -1,5 +1,6 @@
 import math
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,3 +196,17 @@ def test_greedy_paths_look_at_reached_contexts_only(spark):
     every = {r.context: r.path for r in generation.greedy_paths(model, 9).collect()}
     got = {r.context: r.path for r in generation.greedy_paths(model, 9, asked=asked).collect()}
     assert got == {c: every[c] for c in "qabc"} and set("xyz") < set(every)
+
+
+def test_most_frequent_token_comes_from_the_contexts(spark):
+    model = ngram.fit(docs_of(spark, "a b a c", "c b", "d"))
+    assert ngram.greedy_unigram(replace(model, counts=None)) == "b"
+    assert ngram.greedy_unigram(replace(model, contexts=model.totals())) == "b"
+
+
+def test_few_texts_look_at_their_own_contexts(spark):
+    model = ngram.fit(docs_of(spark, *TEXTS))
+    asked = ngram.transitions(docs_of(spark, "b zz b"), ["doc_id"])
+    counts, totals = ngram._asked_of(asked, model.counts, model.totals())
+    assert {tuple(r) for r in counts.collect()} == {("b", "a", 2), ("b", "c", 1), ("b", "d", 1)}
+    assert [tuple(r) for r in totals.collect()] == [("b", 4)]

@@ -22,7 +22,10 @@ HOT_SHARE = 0.001
 
 @dataclass(frozen=True)
 class Model:
-    """``counts(context, token, n)`` and ``contexts(context, total)``; both written tables."""
+    """``counts(context, token, n)`` and ``contexts(context, total)``; both written tables.
+
+    With one-token contexts ``contexts`` also has ``used``, how often the token follows another one.
+    """
 
     counts: DataFrame
     contexts: DataFrame
@@ -33,7 +36,10 @@ class Model:
 
     def pairs(self) -> DataFrame:
         """``(context, token, n, total)``: with the total, a seen pair needs one lookup only."""
-        return salted_lookup(self.counts, self.contexts, ["context"], self.hot_contexts(), ["token"])
+        return salted_lookup(self.counts, self.totals(), ["context"], self.hot_contexts(), ["token"])
+
+    def totals(self) -> DataFrame:
+        return self.contexts.select("context", "total")
 
     def distribution(self) -> DataFrame:
         """``(context, token, logit)`` of the seen pairs."""
@@ -84,10 +90,12 @@ def fit(docs: DataFrame, order: int = 2, alpha: float = 0.1, tokens: str = "toke
     text, with a total of zero, and so lists the whole vocabulary.
     """
     counts = cut(pair_counts(docs, order, tokens), "ngram-counts")
-    uses = counts.select("context", "n")
+    uses, sums = counts.select("context", "n"), [F.sum("n").alias("total")]
     if order == 2:
-        uses = uses.unionByName(counts.select(F.col("token").alias("context"), F.lit(0).cast("bigint").alias("n")))
-    contexts = cut(uses.groupBy("context").agg(F.sum("n").alias("total")), "ngram-contexts")
+        none = F.lit(0).cast("bigint")
+        ends = counts.select(F.col("token").alias("context"), none.alias("n"), F.col("n").alias("used"))
+        uses, sums = uses.withColumn("used", none).unionByName(ends), [*sums, F.sum("used").alias("used")]
+    contexts = cut(uses.groupBy("context").agg(*sums), "ngram-contexts")
     size = contexts.agg(F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("total"), F.lit(0)).alias("observed")).first()
     vocabulary = size.types
     if order > 2:
@@ -96,6 +104,18 @@ def fit(docs: DataFrame, order: int = 2, alpha: float = 0.1, tokens: str = "toke
     return Model(counts, contexts, order, alpha, vocabulary, size.observed)
 
 
+#: Contexts that are listed to every task.
+LISTED = 1_000_000
+
+
+def _asked_of(asked: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """The rows of ``tables`` with contexts of ``asked``, so that few texts do not shuffle a model; all rows for more than ``LISTED``."""
+    contexts = asked.select("context").filter("context IS NOT NULL").distinct()
+    if contexts.limit(LISTED + 1).count() > LISTED:
+        return list(tables)
+    return [table.join(F.broadcast(contexts), "context", "left_semi") for table in tables]
+
+
 def text_loss(
     docs: DataFrame, model: Model, key: Sequence[str], tokens: str = "tokens", in_sample: bool = False
 ) -> DataFrame:
@@ -108,9 +128,12 @@ def text_loss(
     """
     asked = transitions(docs, key, model.order, tokens)
     spread = [*key, "at"]
-    known = salted_lookup(asked, model.pairs() if in_sample else model.counts, ["context", "token"], model.hot_pairs(), spread)
-    if not in_sample:
-        known = salted_lookup(known, model.contexts, ["context"], model.hot_contexts(), spread)
+    if in_sample:
+        known = salted_lookup(asked, model.pairs(), ["context", "token"], model.hot_pairs(), spread)
+    else:
+        counts, totals = _asked_of(asked, model.counts, model.totals())
+        known = salted_lookup(asked, counts, ["context", "token"], model.hot_pairs(), spread)
+        known = salted_lookup(known, totals, ["context"], model.hot_contexts(), spread)
     loss = -model.log_probability(F.col("n"), F.col("total"))
     return known.groupBy(*key).agg(F.count(F.lit(1)).alias("targets"), F.avg(loss).alias("loss"))
 
@@ -142,9 +165,12 @@ def greedy(dist: DataFrame, by: Sequence[str] = ("context",), weight: str = "log
 
 def greedy_unigram(model: Model) -> str | None:
     """The most frequent next token overall, for contexts the model has not seen."""
+    if "used" in model.contexts.columns:
+        uses = model.contexts.filter("used > 0").select(F.col("context").alias("token"), F.col("used").alias("n"))
+    else:
+        uses = model.counts.groupBy("token").agg(F.sum("n").alias("n"))
     row = (
-        model.counts.groupBy("token").agg(F.sum("n").alias("n"))
-        .agg(F.min(F.struct((-F.col("n")).alias("cost"), "token")).alias("best"))
+        uses.agg(F.min(F.struct((-F.col("n")).alias("cost"), "token")).alias("best"))
         .first()
     )
     return row.best.token if row.best else None
