@@ -145,3 +145,11 @@ def test_windows_are_not_repeated_by_token(spark):
         text = df._jdf.queryExecution().executedPlan().toString()
         # windows use the partitioning of the buckets
         assert text.count("Exchange hashpartitioning(bucket") == 1 and "Python" not in text.replace("PythonRDD", "")
+
+
+def test_windows_are_not_counted_before_they_are_dealt(spark):
+    split = spark.createDataFrame([("train", 1, ["a"]), ("validation", 2, ["b"])], "part string, id int, tokens array<string>")
+    plan = windows.window_overlap(split, ["id"], 4)._jdf.queryExecution().executedPlan().toString()
+    dealt = plan.index("Exchange hashpartitioning(k")
+    # both counts by window stand above the exchange of the windows, which moves two numbers a window
+    assert "HashAggregate(keys=[k" in plan[:dealt] and "HashAggregate(keys=[k" not in plan[dealt:]

@@ -184,14 +184,18 @@ def window_hashes(docs: DataFrame, order: Sequence[str], block: int, tokens: str
 def window_overlap(split: DataFrame, order: Sequence[str], block: int = 128, part: str = "part", tokens: str = "tokens") -> DataFrame:
     """Windows of the validation stream whose tokens also are a window of the training stream, and the others.
 
-    Each part is a stream of its own. Equal windows are counted per part before the parts meet.
+    Each part is a stream of its own. Windows seldom repeat inside a task, so they are dealt by hash as they are and counted
+    there. A window is two whole numbers: two hashes in one, the third and whether it is of the training stream in the other.
     """
     sides = None
     for name in ("train", "validation"):
-        hashes = window_hashes(split.filter(F.col(part) == name), order, block, tokens).withColumn("part", F.lit(name))
-        sides = hashes if sides is None else sides.unionByName(hashes)
-    both = sides.groupBy("h1", "h2", "h3").agg(
-        F.count_if(F.col("part") == "validation").alias("validation"), F.bool_or(F.col("part") == "train").alias("trained")
+        hashes = window_hashes(split.filter(F.col(part) == name), order, block, tokens)
+        third = F.shiftleft("h3", 1) + F.lit(int(name == "train"))
+        packed = hashes.select((F.shiftleft("h1", 31) + F.col("h2")).alias("k"), third.alias("third"))
+        sides = packed if sides is None else sides.unionByName(packed)
+    trained = F.col("third") % 2 == 1
+    both = sides.repartition("k").groupBy("k", F.shiftright("third", 1).alias("h3")).agg(
+        F.count_if(~trained).alias("validation"), F.bool_or(trained).alias("trained")
     )
     leaked = F.when(F.col("trained"), F.col("validation")).otherwise(0)
     return both.agg(F.coalesce(F.sum("validation"), F.lit(0)).alias("validation"), F.coalesce(F.sum(leaked), F.lit(0)).alias("leaked")).withColumn(
