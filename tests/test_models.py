@@ -1,6 +1,5 @@
 import math
 from collections import Counter
-from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,8 +199,9 @@ def test_greedy_paths_look_at_reached_contexts_only(spark):
 
 def test_most_frequent_token_comes_from_the_contexts(spark):
     model = ngram.fit(docs_of(spark, "a b a c", "c b", "d"))
-    assert ngram.greedy_unigram(replace(model, counts=None)) == "b"
-    assert ngram.greedy_unigram(replace(model, contexts=model.totals())) == "b"
+    assert {r.context: r.used for r in model.contexts.collect()} == {"a": 1, "b": 2, "c": 1}
+    vars(model)["counts"] = None
+    assert ngram.greedy_unigram(model) == "b"
 
 
 def test_few_texts_look_at_their_own_contexts(spark):
@@ -210,3 +210,21 @@ def test_few_texts_look_at_their_own_contexts(spark):
     counts, totals = ngram._asked_of(asked, model.counts, model.totals())
     assert {tuple(r) for r in counts.collect()} == {("b", "a", 2), ("b", "c", 1), ("b", "d", 1)}
     assert [tuple(r) for r in totals.collect()] == [("b", 4)]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_texts_are_counted_where_they_are_scored(spark, order):
+    import random
+
+    rnd = random.Random(order)
+    # frequent pairs, a frequent context with rare tokens, many rare tokens, texts too short, copies
+    texts = [" ".join(rnd.choice(["a b", "a", "of", f"w{rnd.randint(0, 1500)}"]) for _ in range(rnd.randint(0, 40))) for _ in range(120)]
+    texts += ["a b " * 30, "a b", "x", "", texts[0]]
+    docs = docs_of(spark, *texts)
+    model = ngram.fit(docs, order)
+    got = {r.doc_id: (r.targets, r.loss) for r in ngram.text_loss(docs, model, ["doc_id"], in_sample=True).collect()}
+    assert not {"counts", "contexts"} & set(vars(model))
+    want = {i: brute_loss(t.split(), texts, order, 0.1) for i, t in enumerate(texts)}
+    assert set(got) == {i for i, v in want.items() if v is not None}
+    for i, (targets, loss) in got.items():
+        assert targets == len(texts[i].split()) - order + 1 and loss == pytest.approx(want[i])

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.functions import numbers as nm
 from textloom.runtime import cut, salted_lookup
@@ -22,17 +24,50 @@ HOT_SHARE = 0.001
 
 @dataclass(frozen=True)
 class Model:
-    """``counts(context, token, n)`` and ``contexts(context, total)``; both written tables.
+    """Counts of the next tokens of ``texts``. A table is written when it is first asked for."""
 
-    With one-token contexts ``contexts`` also has ``used``, how often the token follows another one.
-    """
-
-    counts: DataFrame
-    contexts: DataFrame
+    texts: DataFrame
     order: int
     alpha: float
-    vocabulary: int
-    observed: int
+    tokens: str = "tokens"
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """``(context, token, n)``."""
+        return cut(pair_counts(self.texts, self.order, self.tokens), "ngram-counts")
+
+    @cached_property
+    def contexts(self) -> DataFrame:
+        """``(context, total)``.
+
+        With one-token contexts the table also has the tokens that only end a text, with a total of zero, and so lists
+        the whole vocabulary, and ``used``, how often the token follows another one.
+        """
+        uses, sums = self.counts.select("context", "n"), [F.sum("n").alias("total")]
+        if self.order == 2:
+            none = F.lit(0).cast("bigint")
+            ends = self.counts.select(F.col("token").alias("context"), none.alias("n"), F.col("n").alias("used"))
+            uses, sums = uses.withColumn("used", none).unionByName(ends), [*sums, F.sum("used").alias("used")]
+        return cut(uses.groupBy("context").agg(*sums), "ngram-contexts")
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """``(token, n)`` of the counted texts."""
+        counted = self.texts.select(F.explode(F.when(F.size(self.tokens) >= self.order, F.col(self.tokens))).alias("token"))
+        return cut(counted.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "ngram-words")
+
+    @cached_property
+    def _size(self):
+        return self.contexts.agg(F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("total"), F.lit(0)).alias("observed")).first()
+
+    @cached_property
+    def vocabulary(self) -> int:
+        """How many tokens the counted texts have."""
+        return self._size.types if self.order == 2 else self.words.count()
+
+    @property
+    def observed(self) -> int:
+        return self._size.observed
 
     def pairs(self) -> DataFrame:
         """``(context, token, n, total)``: with the total, a seen pair needs one lookup only."""
@@ -47,11 +82,9 @@ class Model:
             "context", "token", self.log_probability(F.col("n"), F.col("total")).alias("logit")
         )
 
-    def log_probability(self, n: Column, total: Column) -> Column:
-        return F.log(
-            (F.coalesce(n, F.lit(0)) + self.alpha)
-            / (F.coalesce(total, F.lit(0)) + self.alpha * self.vocabulary)
-        )
+    def log_probability(self, n: Column, total: Column, vocabulary: int | None = None) -> Column:
+        size = self.vocabulary if vocabulary is None else vocabulary
+        return F.log((F.coalesce(n, F.lit(0)) + self.alpha) / (F.coalesce(total, F.lit(0)) + self.alpha * size))
 
     def hot_contexts(self) -> DataFrame:
         return _hot(self.contexts, "total", self.observed).select("context")
@@ -65,14 +98,19 @@ def _hot(counted: DataFrame, n: str, observed: int) -> DataFrame:
     return counted.filter(F.col(n) >= HOT_SHARE * observed)
 
 
-def transitions(docs: DataFrame, keep: Sequence[str] = (), order: int = 2, tokens: str = "tokens") -> DataFrame:
-    """One row ``(*keep, at, context, token)`` per token that has a full context before it."""
+def transitions(
+    docs: DataFrame, keep: Sequence[str] = (), order: int = 2, tokens: str = "tokens", among: Sequence[str] | None = None
+) -> DataFrame:
+    """One row ``(*keep, at, context, token)`` per token that has a full context before it, of tokens ``among`` these if given."""
     reach = order - 1
     last = F.size(tokens) - reach
     places = F.when(last >= 1, F.sequence(F.lit(1), last))
     at = F.col("at")
     context = F.get(tokens, at - 1) if order == 2 else F.array_join(F.slice(tokens, at, reach), GLUE)
-    return docs.select(*keep, tokens, F.explode(places).alias("at")).select(
+    rows = docs.select(*keep, tokens, F.explode(places).alias("at"))
+    for i in range(reach if among is not None else 0):
+        rows = rows.filter(F.get(tokens, at - 1 + i).isin(among))
+    return rows.select(
         *keep, "at", context.alias("context"), F.get(tokens, at + reach - 1).alias("token")
     )
 
@@ -84,24 +122,34 @@ def pair_counts(docs: DataFrame, order: int = 2, tokens: str = "tokens") -> Data
 
 
 def fit(docs: DataFrame, order: int = 2, alpha: float = 0.1, tokens: str = "tokens") -> Model:
-    """Count n-grams. The vocabulary is every token of the counted texts.
+    """Count n-grams. The vocabulary is every token of the counted texts."""
+    return Model(docs, order, alpha, tokens)
+
+
+def own_counts(model: Model, key: Sequence[str]) -> DataFrame:
+    """``(*key, n, total)``, a row for each token of the model's own texts that has a context, by one shuffle of them.
 
-    With one-token contexts the table of contexts also gets the tokens that only end a
-    text, with a total of zero, and so lists the whole vocabulary.
+    Rows of a context come together and are counted there. Contexts with at least ``HOT_SHARE`` of all rows, and pairs
+    as frequent, consist of tokens as frequent, so they are counted before, in each task first: no more than
+    ``1 / HOT_SHARE`` of each. Rows of such a context are dealt by token, rows of such a pair over 64 places.
     """
-    counts = cut(pair_counts(docs, order, tokens), "ngram-counts")
-    uses, sums = counts.select("context", "n"), [F.sum("n").alias("total")]
-    if order == 2:
-        none = F.lit(0).cast("bigint")
-        ends = counts.select(F.col("token").alias("context"), none.alias("n"), F.col("n").alias("used"))
-        uses, sums = uses.withColumn("used", none).unionByName(ends), [*sums, F.sum("used").alias("used")]
-    contexts = cut(uses.groupBy("context").agg(*sums), "ngram-contexts")
-    size = contexts.agg(F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("total"), F.lit(0)).alias("observed")).first()
-    vocabulary = size.types
-    if order > 2:
-        parts = contexts.select(F.explode(F.split("context", GLUE)).alias("token"))
-        vocabulary = counts.select("token").union(parts).distinct().count()
-    return Model(counts, contexts, order, alpha, vocabulary, size.observed)
+    least = HOT_SHARE * model.words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = [r.token for r in model.words.filter((F.col("n") >= least) & F.col("token").isNotNull()).collect()]
+    rows = transitions(model.texts, key, model.order, model.tokens)
+    likely = transitions(model.texts, (), model.order, model.tokens, among=often)
+    known = likely.groupBy("context", F.when(F.col("token").isin(often), F.col("token")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    known = cut(known, "ngram-hot")
+    totals = known.groupBy("context").agg(F.sum("n").alias("_total")).filter(F.col("_total") >= least)
+    pairs = known.filter((F.col("n") >= least) & F.col("token").isNotNull()).withColumnRenamed("n", "_n")
+
+    met = rows.join(F.broadcast(totals), "context", "left").join(F.broadcast(pairs), ["context", "token"], "left")
+    place = F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64(*key, "at"), F.lit(64)))
+    place = place.when(F.col("_total").isNotNull(), F.xxhash64("token")).otherwise(F.lit(0).cast("bigint"))
+    dealt = met.select(*key, "context", "token", "_n", "_total", place.alias("_place")).repartition("context", "_place")
+    near = dealt.sortWithinPartitions("context", "_place", "token")
+    total = F.count(F.lit(1)).over(Window.partitionBy("context", "_place"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("context", "_place", "token"))
+    return near.select(*key, F.coalesce("_n", n).alias("n"), F.coalesce("_total", total).alias("total"))
 
 
 #: Contexts that are listed to every task.
@@ -123,9 +171,13 @@ def text_loss(
 
     Lookups of the model are salted for the pairs and contexts that its counts show to be
     hot. ``in_sample`` says that the model was fitted on these very texts: every pair is
-    known, so the totals come with the pairs and the lookup of contexts is left out. Texts of fewer
+    known, so the totals come with the pairs and the lookup of contexts is left out. Given the same
+    table, the texts are counted where they are scored, see :func:`own_counts`. Texts of fewer
     than two tokens (or fewer than ``order``) have no row.
     """
+    if in_sample and tokens == model.tokens and docs.sameSemantics(model.texts):
+        loss = -model.log_probability(F.col("n"), F.col("total"), model.words.count())
+        return own_counts(model, key).groupBy(*key).agg(F.count(F.lit(1)).alias("targets"), F.avg(loss).alias("loss"))
     asked = transitions(docs, key, model.order, tokens)
     spread = [*key, "at"]
     if in_sample:
@@ -165,7 +217,7 @@ def greedy(dist: DataFrame, by: Sequence[str] = ("context",), weight: str = "log
 
 def greedy_unigram(model: Model) -> str | None:
     """The most frequent next token overall, for contexts the model has not seen."""
-    if "used" in model.contexts.columns:
+    if model.order == 2:
         uses = model.contexts.filter("used > 0").select(F.col("context").alias("token"), F.col("used").alias("n"))
     else:
         uses = model.counts.groupBy("token").agg(F.sum("n").alias("n"))
