@@ -107,3 +107,23 @@ def test_pairs_of_a_stream_are_found_in_any_stretch(monkeypatch, stretch):
     (out,) = phrases._recode_pairs(iter([batch]))
     numbers, names = phrases.unpacked(out.column("stream")[0].as_py()), out.column("ids")[0].as_py()
     assert [None if n < 0 else names[n] for n in numbers] == [100, 101, None, None, 101, None, 100, 101, 102]
+
+
+def test_pairs_of_words_are_named_by_their_ids():
+    stream, ids = np.array([0, 1, -1, 1, 0, 1]), [4, 9]
+    found = [{"left": 4, "right": 9, "total": 2}, {"left": 9, "right": 4, "total": 1}]
+    batch = pa.RecordBatch.from_pylist([{"block": 1, "grp": "en", "stream": phrases.packed(stream), "ids": ids, "found": found}])
+    (out,) = phrases._recode_pairs(iter([batch]))
+    numbers, names = phrases.unpacked(out.column("stream")[0].as_py()), out.column("ids")[0].as_py()
+    assert [None if n < 0 else (names[n] >> 32, names[n] & 0xFFFFFFFF) for n in numbers] == [(4, 9), None, None, (9, 4), (4, 9)]
+
+
+def test_tables_of_a_level_go_with_the_next(spark, tmp_path, monkeypatch):
+    """Blocks, streams and pairs take as much room as the texts; phrases, words and totals stay until they are read."""
+    monkeypatch.setattr("textloom.runtime.shared_folder", lambda _: str(tmp_path))
+    rows = texts(5, 300, ["a", "b", "c", "d"])
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    found = phrases.collocations(docs, longest=4)
+    left = {path.name.rsplit("-", 1)[0] for path in tmp_path.iterdir()}
+    assert left == {"phrase-counts", "phrase-totals", "phrases", "running"}
+    assert {tuple(r) for r in found.collect()} == brute(rows, longest=4)

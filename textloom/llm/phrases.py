@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.llm.common import give_back, slices
-from textloom.runtime import cut, position
+from textloom.runtime import cut, cut_to, position, remove_path
 
 #: Ids a side of a tile; pairs from which a tile is counted as a dense square.
 SIDE, DENSE = 1024, 1 << 17
@@ -168,7 +168,8 @@ def _recode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _recode_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, grp, stream, ids, found in zip(*(batch.column(c) for c in ("block", "grp", "stream", "ids", "found"))):
-            left, right, known, total = (np.asarray(found.values.field(c)) for c in ("left", "right", "id", "total"))
+            left, right, total = (np.asarray(found.values.field(c)) for c in ("left", "right", "total"))
+            known = np.asarray(found.values.field("id")) if "id" in {f.name for f in found.values.type} else left << 32 | right
             ids, stream = np.asarray(ids.values), unpacked(stream.as_py()).astype(np.int64)
             # from ids back to the numbers of this block
             order = np.argsort(ids)
@@ -190,9 +191,10 @@ def _recode_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _with_ids(blocks: DataFrame, found: DataFrame) -> DataFrame:
-    """Blocks with ``found``, the ``left, right, id, total`` of their rows of ``found``."""
-    lists = found.groupBy("block").agg(F.collect_list(F.struct("left", "right", "id", "total")).alias("found"))
-    none = F.array().cast("array<struct<left: bigint, right: bigint, id: bigint, total: bigint>>")
+    """Blocks with ``found``, the other columns of their rows of ``found`` as a list."""
+    columns = [c for c in found.columns if c != "block"]
+    lists = found.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("found"))
+    none = F.array().cast(f"array<struct<{', '.join(f'{c}: bigint' for c in columns)}>>")
     return blocks.join(lists, "block", "left").select(*blocks.columns, F.coalesce("found", none).alias("found"))
 
 
@@ -201,6 +203,20 @@ def _ranked(counts: DataFrame, order: list) -> DataFrame:
     return cut(position(cut(counts, "phrase-counts"), ["grp"], [F.desc("n"), *order], "id"), "phrases")
 
 
+def _known(pairs: DataFrame, least: int, size: int) -> DataFrame:
+    """The rows of frequent pairs with the ``total`` of the pair and, for more than two words, an ``id`` that they share.
+
+    The rows of a pair, at most one a block, meet once for that.
+    """
+    same = Window.partitionBy("grp", "left", "right")
+    if size == 2:
+        named, added = pairs, {}
+    else:
+        named, added = pairs.withColumn("row", F.monotonically_increasing_id()), {"id": F.min("row").over(same)}
+    summed = named.withColumns({"total": F.sum("n").over(same), **added}).filter(F.col("total") >= least)
+    return summed.select("block", "grp", "left", "right", *added, "total")
+
+
 def phrase_levels(docs: DataFrame, group: Column, least: int, longest: int) -> tuple[DataFrame, list[DataFrame]]:
     """Words of each group, and the frequent phrases of 1 to ``longest`` words, each level a table.
 
@@ -210,32 +226,41 @@ def phrase_levels(docs: DataFrame, group: Column, least: int, longest: int) -> t
     # every text ends with the end of a piece
     text = F.concat(F.coalesce(F.col("text"), F.lit("")), F.lit(f" {END}"))
     source = docs.select(F.coalesce(group.cast("string"), F.lit("und")).alias("grp"), text.alias("text"))
-    blocks = cut(
+    blocks, blocks_path = cut_to(
         source.mapInArrow(_blocks, "block long, grp string, words array<string>, counts array<long>, codes binary"), "phrase-blocks"
     )
     listed = blocks.select("block", "grp", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
     listed = listed.select("block", "grp", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     words = listed.groupBy("grp", "word").agg(F.sum("n").alias("n"))
-    totals = blocks.groupBy("grp").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, n: s + n)).alias("total"))
+    in_block = F.aggregate("counts", F.lit(0).cast("long"), lambda s, n: s + n)
+    totals = cut(blocks.groupBy("grp").agg(F.sum(in_block).alias("total")), "phrase-totals")
     frequent = _ranked(words.filter(F.col("n") >= least), ["word"])
     none = F.array().cast("array<long>")
     levels = [frequent.select("grp", "id", "n", F.array("word").alias("words"), none.alias("heads"), none.alias("tails"))]
 
-    zero = F.lit(0).cast("long")
     found = listed.join(frequent.select("grp", "word", "id"), ["grp", "word"]).select(
-        "block", F.col("place").cast("long").alias("left"), zero.alias("right"), "id", zero.alias("total")
+        "block", F.col("place").cast("long").alias("left"), "id"
     )
     coded = _with_ids(blocks.select("block", "grp", "codes"), found)
-    same = Window.partitionBy("grp", "left", "right")
+    # tables that the next level is made of; each goes once that level's streams are written
+    spent = [blocks_path]
     for size in range(2, longest + 1):
-        streams = cut(coded.mapInArrow(_recode_words if size == 2 else _recode_pairs, _STREAM), "phrase-streams")
-        pairs = cut(streams.mapInArrow(_neighbours, _PAIRS), "phrase-pairs")
-        # the rows of a pair, at most one a block, meet once: for its count, and for an id that they share
-        totals_of = pairs.withColumn("row", F.monotonically_increasing_id()).withColumns(
-            {"total": F.sum("n").over(same), "id": F.min("row").over(same)}
-        )
-        known = cut(totals_of.filter(F.col("total") >= least).select("block", "grp", "left", "right", "id", "total"), "phrase-frequent")
-        ranked = known.groupBy("grp", "left", "right").agg(F.first("id").alias("id"), F.first("total").alias("n"))
+        streams, streams_path = cut_to(coded.mapInArrow(_recode_words if size == 2 else _recode_pairs, _STREAM), "phrase-streams")
+        for path in spent:
+            remove_path(docs.sparkSession, path)
+        spent = [streams_path]
+        pairs = streams.mapInArrow(_neighbours, _PAIRS)
+        if size < longest:
+            known, known_path = cut_to(_known(pairs, least, size), "phrase-frequent")
+            spent.append(known_path)
+            # ids of words are ranks, below 2**32: those of a pair are its id
+            own = F.expr("shiftleft(left, 32) | right") if size == 2 else F.first("id")
+            ranked = known.groupBy("grp", "left", "right").agg(F.first("total").alias("n"), own.alias("id"))
+            coded = _with_ids(streams, known.drop("grp"))
+        else:
+            # no block has to know its pairs any more
+            ranked = pairs.groupBy("grp", "left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+            ranked = ranked.withColumn("id", F.monotonically_increasing_id())
         shorter = levels[-1]
         head = shorter.select("grp", F.col("id").alias("left"), "words", F.concat("heads", F.array("n")).alias("heads"))
         tail = shorter.select(
@@ -245,8 +270,8 @@ def phrase_levels(docs: DataFrame, group: Column, least: int, longest: int) -> t
         levels.append(
             cut(phrases.select("grp", "id", "n", F.concat("words", F.array("last")).alias("words"), "heads", "tails", "left", "right"), "phrases")
         )
-        if size < longest:
-            coded = _with_ids(streams, known.select("block", "left", "right", "id", "total"))
+    for path in spent:
+        remove_path(docs.sparkSession, path)
     return totals, levels
 
 
