@@ -228,3 +228,40 @@ def test_texts_are_counted_where_they_are_scored(spark, order):
     assert set(got) == {i for i, v in want.items() if v is not None}
     for i, (targets, loss) in got.items():
         assert targets == len(texts[i].split()) - order + 1 and loss == pytest.approx(want[i])
+
+
+@pytest.mark.parametrize("share", [0.05, 2.0])
+def test_placed_softmax_equals_that_of_whole_contexts(spark, monkeypatch, share):
+    """Large contexts dealt over places, and none of them; a context of null has no probabilities, but logits."""
+    monkeypatch.setattr(ngram, "HOT_SHARE", share)
+    texts = [["a", f"w{i % 37}", "b", None, "a", "a", f"w{i % 5}"] for i in range(60)] + [["z"], [], None]
+    model = ngram.fit(spark.createDataFrame([(t,) for t in texts], "tokens array<string>"))
+    n = Counter((x, y) for t in texts if t for x, y in zip(t, t[1:]))
+    total, size = Counter(), len({x for t in texts if t and len(t) > 1 for x in t})
+    for (x, _), count in n.items():
+        total[x] += count if x is not None else 0
+    logits = {(x, y): math.log((count + 0.1) / (total[x] + 0.1 * size)) for (x, y), count in n.items()}
+    dist = model.distribution(placed=True)
+    got = {(r.context, r.token): r.logit for r in dist.collect()}
+    assert got == pytest.approx(logits) and model.distribution().columns == ["context", "token", "logit"]
+    places = {x: {r.place for r in dist.filter(F.col("context") == x).collect()} for x in ("a", "w36")}
+    assert places["w36"] == {0} and (len(places["a"]) > 1 and 0 not in places["a"] if share < 1 else places["a"] == {0})
+    mass = Counter()
+    for (x, _), logit in logits.items():
+        mass[x] += math.exp(logit)
+    want = {(x, y): math.exp(logit) / mass[x] for (x, y), logit in logits.items() if x is not None}
+    for found in (sampling.softmax(dist, place="place"), sampling.softmax(model.distribution())):
+        assert {(r.context, r.token): r.probability for r in found.collect()} == pytest.approx(want)
+    far = spark.createDataFrame([("c", "a", 900.0, 1), ("c", "b", 899.0, 2), ("c", "d", -900.0, 3)], f"{DIST}, place long")
+    found = {r.token: r.probability for r in sampling.softmax(far, place="place").collect()}
+    assert found == pytest.approx({"a": 1 / (1 + math.exp(-1)), "b": 1 / (1 + math.e), "d": 0})
+
+
+def test_softmax_of_a_model_shuffles_its_counts_once(spark):
+    model = ngram.fit(spark.createDataFrame([(["a", "b", "a", "c"],)], "tokens array<string>"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sampling.softmax(model.distribution(placed=True), place="place")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(context" in plan

@@ -20,6 +20,8 @@ from textloom.runtime import cut, salted_lookup
 # Joins the tokens of a context of more than one token.
 GLUE = "\x1f"
 HOT_SHARE = 0.001
+#: Places over which the rows of a hot context are dealt.
+PLACES = 16
 
 
 @dataclass(frozen=True)
@@ -76,11 +78,19 @@ class Model:
     def totals(self) -> DataFrame:
         return self.contexts.select("context", "total")
 
-    def distribution(self) -> DataFrame:
-        """``(context, token, logit)`` of the seen pairs."""
-        return self.pairs().select(
-            "context", "token", self.log_probability(F.col("n"), F.col("total")).alias("logit")
-        )
+    def distribution(self, placed: bool = False) -> DataFrame:
+        """``(context, token, logit)`` of the seen pairs, by one shuffle of them: rows of a context come together and are added up.
+
+        Rows of hot contexts, whose totals are listed to every task, are dealt over ``PLACES`` by token. ``placed`` adds
+        the ``place``: zero where all rows of the context are together.
+        """
+        hot = F.broadcast(_hot(self.totals(), "total", self.observed))
+        place = F.when(F.col("total").isNotNull(), 1 + F.pmod(F.xxhash64("token"), F.lit(PLACES))).otherwise(F.lit(0).cast("bigint"))
+        met = self.counts.join(hot, "context", "left").select("context", "token", "n", "total", place.alias("place"))
+        summed = F.when(F.col("context").isNotNull(), F.sum("n").over(Window.partitionBy("context", "place")))
+        logit = self.log_probability(F.col("n"), F.col("total")).alias("logit")
+        dist = met.withColumn("total", F.coalesce("total", summed)).select("context", "token", logit, "place")
+        return dist if placed else dist.drop("place")
 
     def log_probability(self, n: Column, total: Column, vocabulary: int | None = None) -> Column:
         size = self.vocabulary if vocabulary is None else vocabulary

@@ -15,8 +15,15 @@ MIN_TEMPERATURE = 1e-8
 DRAW_CELLS = 32
 
 
-def softmax(dist: DataFrame, by: str = "context", logit: str = "logit", out: str = "probability") -> DataFrame:
-    """Probabilities per context. Peak and mass are aggregates, so a large context is no single task."""
+def softmax(dist: DataFrame, by: str = "context", logit: str = "logit", out: str = "probability", place: str | None = None) -> DataFrame:
+    """Probabilities per context. Peak and mass are aggregates, so a large context is no single task.
+
+    ``place`` names a column that is zero where a context's rows are to be together, and deals those of a large context
+    over places above zero. Then peaks and masses are taken place by place, where the rows lie, and those of
+    large contexts, which must be few enough to be listed, are put together from their places.
+    """
+    if place is not None:
+        return _placed_softmax(dist, by, logit, out, place)
     peaks = dist.groupBy(by).agg(F.max(logit).alias("_peak"))
     with_peak = dist.join(peaks, by).withColumn("_mass", F.exp(F.col(logit) - F.col("_peak")))
     masses = with_peak.groupBy(by).agg(F.sum("_mass").alias("_total"))
@@ -25,6 +32,20 @@ def softmax(dist: DataFrame, by: str = "context", logit: str = "logit", out: str
     )
 
 
+def _placed_softmax(dist: DataFrame, by: str, logit: str, out: str, place: str) -> DataFrame:
+    here = Window.partitionBy(by, place)
+    local = dist.filter(F.col(by).isNotNull()).withColumn("_peak", F.max(logit).over(here))
+    local = local.withColumn("_mass", F.sum(F.exp(F.col(logit) - F.col("_peak"))).over(here))
+    parts = local.filter(F.col(place) > 0).groupBy(by, place).agg(F.first("_peak").alias("_peak"), F.first("_mass").alias("_mass"))
+    tops = parts.withColumn("_top", F.max("_peak").over(Window.partitionBy(by)))
+    whole = tops.groupBy(by).agg(
+        F.first("_top").alias("_top"), F.sum(F.col("_mass") * F.exp(F.col("_peak") - F.col("_top"))).alias("_whole")
+    )
+    met = local.join(F.broadcast(whole), by, "left")
+    share = F.exp(F.col(logit) - F.coalesce("_top", "_peak")) / F.coalesce("_whole", "_mass")
+    return met.select(by, *[c for c in dist.columns if c not in (by, out)], share.alias(out))
+
+
 def keep_top_k(dist: DataFrame, k: int, by: str = "context", logit: str = "logit") -> DataFrame:
     """The ``k`` best tokens per context and everything tied with the last of them.
 

@@ -110,7 +110,7 @@ def _logged(dist):
 SELECT context, token, round(ln(exp(logit - m) / sum(exp(logit - m)) OVER (PARTITION BY context)), 6) AS log_probability FROM peak
 """)
 def softmax_probability(spark, folder):
-    dist = sampling.softmax(_model(spark, folder).distribution())
+    dist = sampling.softmax(_model(spark, folder).distribution(placed=True), place="place")
     return _logged(dist)
 
 
